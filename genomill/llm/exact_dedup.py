@@ -73,16 +73,11 @@ def deduplicate(docs: DataFrame, salts: int = 16) -> DataFrame:
 
     Nulls, ties and repeated rows: as in ``assign``; exactly one row of each group of equal texts stays.
     """
-    kept = assign(docs, salts).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(normalised(F.col("text")), 256)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy("text"))
-    return (
-        docs.withColumn("_own", sha)
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-        .withColumn("_nth", nth)
-        .where("_nth = 1")
-        .drop("_own", "_nth")
-    )
+    kept = assign(docs, salts).where("kept").select("doc_id", F.col("text_sha256").alias("sha"))
+    rows = docs.select(F.struct("*").alias("row")).withColumn("own", F.sha2(normalised(F.col("row.text")), 256))
+    rows = rows.join(kept, F.col("row.doc_id").eqNullSafe(kept["doc_id"]) & (F.col("own") == F.col("sha")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("row.doc_id", "own").orderBy("row.text"))
+    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")
 
 
 ORACLE = r"""

@@ -374,6 +374,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows with a null doc_id or without words stay; of rows that repeat a kept document one stays.
     """
     kept = near_duplicates(docs, **options).where("component_id = doc_id").select("doc_id").distinct()
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left_semi")
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_nth = 1").drop("_nth")
-    return rows.unionByName(docs.where("doc_id is null"))
+    rows = docs.select(F.struct("*").alias("row"))
+    known = rows.join(kept, F.col("row.doc_id") == kept["doc_id"], "left_semi")
+    known = known.withColumn("nth", F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))).where("nth = 1").drop("nth")
+    return known.unionByName(rows.where("row.doc_id is null")).select("row.*")

@@ -160,11 +160,11 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Nulls and repeated rows: as in ``mix_sources``. Rows that repeat a document stay together.
     """
-    plan = mix_sources(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_of"), "_times", "_rows")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_size", size).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_of")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("text"))
-    share = F.expr("_times div _rows + if(_nth <= _times % _rows, 1, 0)")
-    rows = rows.withColumn("_nth", nth).withColumn("_share", share).where("_share > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_share").cast("int")))).select(*[rows[c] for c in docs.columns])
+    plan = mix_sources(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
+    size = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.struct("*").alias("row")).withColumn("of", size)
+    same = F.col("row.doc_id").eqNullSafe(plan["doc_id"]) & F.col("row.source").eqNullSafe(plan["source"]) & (F.col("of") == plan["size"])
+    rows = rows.join(plan, same)
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("row.doc_id", "row.source", "of").orderBy("row.text")))
+    rows = rows.withColumn("share", F.expr("times div rows + if(nth <= times % rows, 1, 0)")).where("share > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("share").cast("int")))).select("row.*")
