@@ -6,13 +6,18 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, language, mixing, pieces
+from . import exact_dedup, jaccard, kneser_ney, language, mixing, pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return kneser_ney.score(docs, kneser_ney.train(docs))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.encode(table(spark, sf_dir, "documents"), model, keep_ids=False, keep_text=False)
@@ -38,6 +43,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "pipeline": corpus_pipeline.run,
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_sentencepiece": op2_sentencepiece,
         "op4_language": op4_language,
         "op5_mixing": op5_mixing,
