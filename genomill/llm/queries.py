@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, kneser_ney, language, mixing, pieces
+from . import exact_dedup, jaccard, kdtree, kneser_ney, language, mixing, pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
@@ -47,10 +51,11 @@ def queries() -> dict:
         "op2_sentencepiece": op2_sentencepiece,
         "op4_language": op4_language,
         "op5_mixing": op5_mixing,
+        "op6_top_k": op6_top_k,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_jaccard": op10_jaccard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op6_top_k": kdtree.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
