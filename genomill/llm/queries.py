@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, kdtree, kneser_ney, language, mixing, pieces
+from . import exact_dedup, jaccard, kdtree, kneser_ney, language, mixing, personal, pieces
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op7_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find(table(spark, sf_dir, "documents"), personal.train())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict:
         "op4_language": op4_language,
         "op5_mixing": op5_mixing,
         "op6_top_k": op6_top_k,
+        "op7_personal": op7_personal,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_jaccard": op10_jaccard,
     }
