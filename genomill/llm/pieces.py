@@ -15,6 +15,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -22,7 +23,10 @@ from . import shared
 
 MARK = "▁"
 #: Words that a worker remembers; when full it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Words of more characters have an agenda of their own and are not remembered.
+LONG = 48
+NEVER = 1 << 30
 
 
 class Codec:
@@ -44,6 +48,7 @@ class Codec:
                 self.rank[name] = (-sp.get_score(i), i)
         if any(MARK in name.lstrip(MARK) for name in self.rank):
             raise ValueError("a piece of this vocabulary crosses the start of a word")
+        self._pairs()
         self.bos, self.eos, self.unknown = sp.bos_id(), sp.eos_id(), sp.unk_id()
         self.known: dict[str, bytes] = {}
         self.ends = [i.to_bytes(4, "little") for i in (self.bos, self.eos)]
@@ -90,29 +95,120 @@ class Codec:
                 ids.extend(self.byte_ids[b] for b in part.encode())
         return ids
 
-    def packed(self, text: str) -> bytes:
-        """All ids of a text, begin and end included, as little-endian unsigned 32-bit integers."""
+    def _pairs(self) -> None:
+        """For the agendas of many words at once: sorted keys of pairs of pieces that form a piece, its order and id."""
+        found = []
+        for name, (order, i) in self.rank.items():
+            for k in range(1, len(name)):
+                left, right = self.rank.get(name[:k]), self.rank.get(name[k:])
+                if left and right:
+                    found.append((left[1] << 32 | right[1], order, i))
+        found.sort()
+        self.keys = np.array([x[0] for x in found] or [-1], dtype=np.int64)
+        self.pair_ids = np.array([x[2] for x in found] or [0], dtype=np.int64)
+        orders = np.array([x[1] for x in found] or [0.0])
+        self.pair_order = np.unique(orders, return_inverse=True)[1].astype(np.int64)
+        self.characters = np.full(0x110000, -1, dtype=np.int64)
+        for name, (_, i) in self.rank.items():
+            if len(name) == 1:
+                self.characters[ord(name)] = i
+        if any(self.characters[ord(c)] < 0 for name in self.rank for c in name):
+            raise ValueError("a piece of this vocabulary has a character that is no piece")
+
+    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order and id of the pieces that pairs form; an order of NEVER where they form none."""
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        hit = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.pair_order[at], NEVER), self.pair_ids[at]
+
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """Ids of many words; in each round every word takes the best pair of its agenda, the leftmost of equals."""
+        out: list[bytes | None] = [None] * len(words)
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        sym = self.characters[points]
+        sym = np.where(sym < 0, -1 - points.astype(np.int64), sym)  # no piece: it stays alone and becomes its bytes
+        odd = size > LONG
+        for w in np.flatnonzero(odd).tolist():
+            out[w] = b"".join(i.to_bytes(4, "little") for i in self.merge(words[w]))
+        word = np.flatnonzero(~odd)
+        sym = sym[np.repeat(~odd, size)]
+        size = size[word]
+        order = np.full(len(sym), NEVER, dtype=np.int64)
+        made = np.zeros(len(sym), dtype=np.int64)
+        if len(sym) > 1:
+            order[:-1], made[:-1] = self._look(sym[:-1], sym[1:])
+            order[np.cumsum(size) - 1] = NEVER
+        while len(word):
+            start = np.concatenate([[0], np.cumsum(size)[:-1]])
+            best = np.minimum.reduceat(order << 32 | np.arange(len(sym)), start)
+            over = best >> 32 >= NEVER
+            if over.any():
+                raw = sym.astype("<u4").tobytes()
+                for w, b, e in zip(word[over].tolist(), start[over].tolist(), (start + size)[over].tolist(), strict=True):
+                    out[w] = raw[4 * b : 4 * e]
+                for j in np.flatnonzero(over & (np.minimum.reduceat(sym, start) < 0)).tolist():
+                    some = sym[start[j] : start[j] + size[j]].tolist()
+                    ids = [i for x in some for i in ([x] if x >= 0 else [self.byte_ids[b] for b in chr(-1 - x).encode()])]
+                    out[word[j]] = np.array(ids, dtype="<u4").tobytes()
+                stay = np.repeat(~over, size)
+                moved = np.cumsum(stay) - 1
+                best = best[~over]
+                at = moved[best & 0xFFFFFFFF] if len(best) else best
+                sym, order, made = sym[stay], order[stay], made[stay]
+                word, size = word[~over], size[~over]
+                if not len(word):
+                    break
+            else:
+                at = best & 0xFFFFFFFF
+            sym[at] = made[at]
+            gone = np.ones(len(sym), dtype=bool)
+            gone[at + 1] = False
+            ends_here = np.zeros(len(sym), dtype=bool)
+            ends_here[np.cumsum(size) - 1] = True
+            last = ends_here[at + 1]
+            place = np.cumsum(gone) - 1
+            sym, order, made = sym[gone], order[gone], made[gone]
+            size = size - 1
+            at = place[at]
+            order[at[last]] = NEVER
+            right = at[~last]
+            order[right], made[right] = self._look(sym[right], sym[right + 1])
+            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+            left = at[at > begin] - 1
+            order[left], made[left] = self._look(sym[left], sym[left + 1])
+        return out
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """The text with its begin mark, cut before each word; a run of spaces belongs to the word after it."""
         if not text:
-            return b"".join(self.ends)
-        words = (" " + text.replace(MARK, " ")).split(" ")
+            return []
+        text = text.replace(MARK, " ")
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            return [w[1:] for w in re.findall("[ ]+[^ ]*", " " + text)]
+        return text.split(" ")
+
+    def packed_many(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text, begin and end included, as little-endian unsigned 32-bit integers."""
+        cut = [self.words(t) for t in texts]
         known = self.known
-        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
-            # a run of spaces belongs to the word after it
-            words = ["", *re.findall("[ ]+[^ ]*", " " + text.replace(MARK, " "))]
-            words = [w[1:] for w in words]
-        out = [self.ends[0]]
-        for w in words[1:]:
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                made = self.merge(MARK + w.replace(" ", MARK))
-                ids = b"".join(i.to_bytes(4, "little") for i in made)
-                if len(w) <= 64:
-                    known[w] = ids
-            out.append(ids)
-        out.append(self.ends[1])
-        return b"".join(out)
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = [w for w in set().union(*cut) if w not in known]
+        fresh = zip(new, self.merge_many([MARK + w.replace(" ", MARK) for w in new]), strict=True)
+        known.update(fresh)
+        get, (begin, end) = known.__getitem__, self.ends
+        out = [begin + b"".join(map(get, c)) + end for c in cut]
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        return out
+
+    def packed(self, text: str) -> bytes:
+        return self.packed_many([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return memoryview(self.packed(text)).cast("I").tolist()
@@ -193,7 +289,7 @@ def encode(docs: DataFrame, model: str, columns: tuple[str, ...] = ("doc_id",),
 
     def _some(own: Codec, batch: pa.RecordBatch, texts: list) -> Iterator[pa.RecordBatch]:
         texts = [t or "" for t in texts]
-        packed = [own.packed(t) for t in texts]
+        packed = own.packed_many(texts)
         ids = [memoryview(p).cast("I").tolist() for p in packed]
         decoded = [own.decode(x) for x in ids]
         theirs = own.library.encode(texts, num_threads=1, add_bos=True, add_eos=True)
