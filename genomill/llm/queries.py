@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, kdtree, kneser_ney, language, mixing, personal, pieces
+from . import exact_dedup, jaccard, kdtree, kneser_ney, language, mixing, personal, pieces, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.find(table(spark, sf_dir, "documents"), personal.train())
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
@@ -57,10 +61,11 @@ def queries() -> dict:
         "op5_mixing": op5_mixing,
         "op6_top_k": op6_top_k,
         "op7_personal": op7_personal,
+        "op8_html": op8_html,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_jaccard": op10_jaccard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_top_k": kdtree.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op6_top_k": kdtree.ORACLE, "op8_html": wrappers.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
