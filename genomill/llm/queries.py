@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, kdtree, kneser_ney, language, mixing, personal, pieces, wrappers
+from . import exact_dedup, jaccard, kdtree, kneser_ney, language, licenses, mixing, personal, pieces, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), model, keep_ids=False, keep_text=False)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
@@ -57,6 +61,7 @@ def queries() -> dict:
         "pipeline": corpus_pipeline.run,
         "op1_lm_scoring": op1_lm_scoring,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_licenses": op3_licenses,
         "op4_language": op4_language,
         "op5_mixing": op5_mixing,
         "op6_top_k": op6_top_k,
@@ -68,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_top_k": kdtree.ORACLE, "op8_html": wrappers.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_licenses": licenses.oracle(), "op6_top_k": kdtree.ORACLE, "op8_html": wrappers.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
