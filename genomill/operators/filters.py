@@ -12,10 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import genotype as g
-from ..functions.special import contingency, poisson_quantile
+from ..functions.special import contingency_column, poisson_quantile
 from .histograms import histogram_of
 from .table import Variations
 
@@ -213,14 +212,7 @@ class Chi2GtFreqs2SampleSetsFilter(BaseFilter):
 
     def stat(self, v):
         one, two = (g.genotype_counts(g.pick(F.col("calls"), v.indexes(s))) for s in self.sets)
-
-        @F.udf(T.DoubleType())
-        def p(a, b):
-            a, b = ({tuple(x["gt"]): x["n"] for x in side or ()} for side in (a, b))
-            kinds = sorted({*a, *b})
-            return contingency([[side.get(k, 0) for k in kinds] for side in (a, b)]) if kinds else None
-
-        return p(one, two)
+        return contingency_column(one, two)
 
 
 class PseudoHetDuplicationFilter(BaseFilter):
