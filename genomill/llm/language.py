@@ -136,8 +136,8 @@ def word_scores(model: Model, raw: np.ndarray, words: Words) -> tuple[np.ndarray
     """
     n_words, n_langs = len(words.starts), len(model.langs)
     scores = np.zeros((n_words, n_langs))
-    if not n_words:
-        return scores, np.zeros(0)
+    if not n_words or not n_langs:
+        return scores, np.zeros(n_words)
     script = script_of_bytes(raw)
     letter = np.concatenate([[0], np.cumsum(script > 0)])
     weight = letter[words.ends] - letter[words.starts]
