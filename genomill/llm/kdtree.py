@@ -78,8 +78,8 @@ class Tree:
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
 
-def search(vectors: np.ndarray, ids: np.ndarray, uids: np.ndarray, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, positions, scores): the up to k best rows for each query that score at least its ``floor``.
+def search(vectors: np.ndarray, ids: np.ndarray, uids: np.ndarray, queries: np.ndarray, own: np.ndarray, floor: list[int | None], k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, positions, scores): the up to k best rows for each query that score at least its ``floor``, if it has one.
 
     Ties go to the smaller id, then to the smaller uid; rows of uid ``own`` don't count. Scores are exact.
     """
@@ -96,7 +96,7 @@ def search(vectors: np.ndarray, ids: np.ndarray, uids: np.ndarray, queries: np.n
     n_queries, n_leaves = bounds.shape
     best = np.full((n_queries, k), -np.inf if exact is not object else -(1 << 200), dtype=exact)
     where = np.full((n_queries, k), -1, dtype=np.int64)
-    kth = floor.astype(exact) if exact is not object else np.array([int(x) if np.isfinite(x) else -(1 << 200) for x in floor], dtype=object)
+    kth = np.array([(-(1 << 200) if exact is object else -np.inf) if x is None else x for x in floor], dtype=exact)
     ids, uids = ids[tree.order], uids[tree.order]
     tie = np.empty(len(ids), dtype=np.int64)
     tie[np.lexsort((uids, ids))] = np.arange(len(ids))  # the place of each row among all by id and uid
@@ -114,6 +114,8 @@ def search(vectors: np.ndarray, ids: np.ndarray, uids: np.ndarray, queries: np.n
             b, e = tree.begins[j], tree.ends[j]
             q = alive[some]
             got = queries[q] @ tree.vectors[b:e].T
+            if exact is object:
+                got = np.array([[min(max(x, NONE), LAST) for x in row] for row in got], dtype=object).reshape(got.shape)
             got[uids[None, b:e] == own[q][:, None]] = -np.inf if exact is not object else -(1 << 200)
             hit = (got >= kth[q][:, None]).any(axis=1)
             q, got = q[hit], got[hit]
@@ -148,7 +150,7 @@ def _cell(k: int):
         ids = pc.fill_null(left["vec_id"], LAST).to_numpy()
         uids = left["uid"].to_numpy()
         own = right["uid"].to_numpy()
-        floor = np.array([-np.inf if x is None else x for x in right["floor"].to_pylist()], dtype=np.float64)
+        floor = right["floor"].to_pylist()
         out: list[list] = [[], [], [], [], []]
         real, query_ids = left["vec_id"].to_pylist(), right["vec_id"].to_pylist()
         for q, rows, scores in search(vectors, ids, uids, queries, own, floor, k):
@@ -156,7 +158,7 @@ def _cell(k: int):
             out[1] += [query_ids[q]] * len(rows)
             out[2] += [real[i] for i in rows.tolist()]
             out[3] += uids[rows].tolist()
-            out[4] += [min(max(int(s), NONE), LAST) for s in scores.tolist()]
+            out[4] += [int(s) for s in scores.tolist()]
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_uid", "query_id", "vec_id", "uid", "score"])
 
     return run
@@ -174,7 +176,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD
     number of components but the query's own row; fewer than k give fewer ranks. Ties go to the
     smaller vec_id, null last, and then to the row that was read first. Rows that repeat a vec_id are
     queries and candidates of their own. Vectors that are null or hold a null or non-finite
-    component take no part; a null vec_id is no query. Scores beyond a long are held at its ends.
+    component take no part; a null vec_id is no query. Scores beyond a long are held at its ends, and so tie.
     """
     spark = vectors.sparkSession
     shared.ship(spark)
@@ -187,9 +189,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD
     queries = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("blocks")))
 
     home = rows.select("dims", "shard", "vec_id", "uid", "v").groupBy("dims", "shard")
-    at_home = _anew(queries.select("dims", "shard", "vec_id", "uid", "v", F.lit(None).cast("double").alias("floor"))).groupBy("dims", "shard")
+    at_home = _anew(queries.select("dims", "shard", "vec_id", "uid", "v", F.lit(None).cast("long").alias("floor"))).groupBy("dims", "shard")
     near = shared.keep(home.cogroup(at_home).applyInArrow(_cell(k), FOUND), "near")
-    floors = near.groupBy(F.col("query_uid").alias("uid")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor"))
+    floors = near.groupBy(F.col("query_uid").alias("uid")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
 
     sent = queries.join(floors, "uid", "left").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where("`to` <> shard")
     sent = _anew(sent.select("dims", F.col("to").alias("shard"), "block", "vec_id", "uid", "v", "floor")).groupBy("dims", "shard", "block")
