@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 8) -> DataFrame:
     for c in columns:
-        df = df.withColumn(c, F.round(c, digits))
+        df = df.withColumn(c, F.round(c, digits) + F.lit(0.0))  # no negative zero
     return df
 
 
@@ -69,7 +69,7 @@ query("unbiased_exp_het", FREQ + " select v.vid as row_idx, round(case when m >=
 query("unbiased_exp_het2", FREQ + " select v.vid as row_idx, round(case when m >= 10 then (1 - p2) * m / (m - 1) end, 8) as exp_het from v left join st using (vid) left join cd using (vid)")(
     lambda v: _rounded(variant_stats.calc_unbias_expected_het2(v), "exp_het")
 )
-query("inbreeding", FREQ + " select v.vid as row_idx, round(case when m >= 10 and p2 <> 1 then 1 - (h / m) / (1 - p2) end, 8) as inbreeding from v left join st using (vid) left join cd using (vid)")(
+query("inbreeding", FREQ + " select v.vid as row_idx, round(case when m >= 10 and p2 <> 1 then 1 - (h / m) / (1 - p2) end, 8) + 0.0 as inbreeding from v left join st using (vid) left join cd using (vid)")(
     lambda v: _rounded(variant_stats.calc_inbreeding_coef(v), "inbreeding")
 )
 query("allele_freq", FREQ + " select fr.vid as row_idx, allele, n / t as freq from fr join cd using (vid) where m >= 10")(variant_stats.calc_allele_freq)
@@ -188,8 +188,8 @@ query("pop_obs_het", POP + " select vid as row_idx, cast(pop as varchar) as pop,
 query("pop_exp_het", POP + " select vid as row_idx, cast(pop as varchar) as pop, round(case when m >= 4 then (1 - p2) * 2 * m / (2 * m - 1) end, 8) as exp_het from pm left join pt using (vid, pop)")(
     lambda v: _rounded(populations.calc_exp_het(v, min_num_genotypes=4), "exp_het")
 )
-query("pop_report", POP + ", x as (select pop, case when m >= 4 then big / t end as maf from pm left join pt using (vid, pop)) select 'maf' as stat, cast(pop as varchar) as pop, round(avg(maf), 8) as mean, min(maf) as min, round(quantile_cont(maf, 0.25), 8) as q25, round(quantile_cont(maf, 0.5), 8) as median, round(quantile_cont(maf, 0.75), 8) as q75, max(maf) as max, 100 * (count_if(maf >= 0.95) / count(maf)) as almost_fixed, 100 * (count_if(maf < 0.7) / count(maf)) as highly_variable from x group by pop")(
-    lambda v: _rounded(populations.pop_stats_report(v, min_num_genotypes=4).where("stat = 'maf'"), "mean", "q25", "median", "q75")
+query("pop_report", POP + ", x as (select pop, case when m >= 4 then big / t end as maf from pm left join pt using (vid, pop)) select 'maf' as stat, cast(pop as varchar) as pop, round(avg(maf), 6) as mean, min(maf) as min, round(quantile_cont(maf, 0.25), 6) as q25, round(quantile_cont(maf, 0.5), 6) as median, round(quantile_cont(maf, 0.75), 6) as q75, max(maf) as max, 100 * (count_if(maf >= 0.95) / count(maf)) as almost_fixed, 100 * (count_if(maf < 0.7) / count(maf)) as highly_variable from x group by pop")(
+    lambda v: _rounded(populations.pop_stats_report(v, min_num_genotypes=4).where("stat = 'maf'"), "mean", "q25", "median", "q75", digits=6)
 )
 
 # --- order
@@ -204,20 +204,20 @@ KOS = ", pr as (select x.sid as i, y.sid as j, case when x.a0 in (y.a0, y.a1) th
 query("kosman", KOS + " select cast(i as int) as i, cast(j as int) as j, sum(case when sh = 0 then 2 when sh = 4 then 0 else 1 end) / (2 * count(*)) as dist, count(*) as n from pr group by 1, 2")(distances.calc_kosman)
 query("matching", KOS + " select cast(i as int) as i, cast(j as int) as j, count_if(eq) / count(*) as dist, count(*) as n from pr group by 1, 2")(distances.calc_matching)
 NEI = POP + ", ok as (select vid, pop from pm where m >= 4), f as (select pn.vid, pn.pop, allele, n / t as p from pn join ok on ok.vid = pn.vid and ok.pop = pn.pop), pp as (select x.vid, x.pop as pop1, y.pop as pop2 from ok x join ok y on x.vid = y.vid and x.pop < y.pop), xy as (select pop1, pop2, sum(a.p * b.p) as xy from pp join f a on a.vid = pp.vid and a.pop = pop1 join f b on b.vid = pp.vid and b.pop = pop2 and a.allele = b.allele group by 1, 2), sq as (select vid, pop, sum(p * p) as q from f group by 1, 2)"
-query("nei", NEI + ", ss as (select pop1, pop2, sum(a.q) as xx, sum(b.q) as yy from pp join sq a on a.vid = pp.vid and a.pop = pop1 join sq b on b.vid = pp.vid and b.pop = pop2 group by 1, 2) select cast(pop1 as varchar) as pop1, cast(pop2 as varchar) as pop2, round(-ln(xy / sqrt(xx * yy)), 8) as dist from xy join ss using (pop1, pop2)")(
+query("nei", NEI + ", ss as (select pop1, pop2, sum(a.q) as xx, sum(b.q) as yy from pp join sq a on a.vid = pp.vid and a.pop = pop1 join sq b on b.vid = pp.vid and b.pop = pop2 group by 1, 2) select cast(pop1 as varchar) as pop1, cast(pop2 as varchar) as pop2, round(-ln(xy / sqrt(xx * yy)), 8) + 0.0 as dist from xy join ss using (pop1, pop2)")(
     lambda v: _rounded(distances.calc_nei(v, min_num_genotypes=4), "dist")
 )
-query("nei_unbiased", NEI + ", ss as (select pop1, pop2, sum((10 * a.q - 1) / 9) as xx, sum((10 * b.q - 1) / 9) as yy from pp join sq a on a.vid = pp.vid and a.pop = pop1 join sq b on b.vid = pp.vid and b.pop = pop2 group by 1, 2) select cast(pop1 as varchar) as pop1, cast(pop2 as varchar) as pop2, round(greatest(0, -ln(xy / sqrt(xx * yy))), 8) as dist from xy join ss using (pop1, pop2)")(
+query("nei_unbiased", NEI + ", ss as (select pop1, pop2, sum((10 * a.q - 1) / 9) as xx, sum((10 * b.q - 1) / 9) as yy from pp join sq a on a.vid = pp.vid and a.pop = pop1 join sq b on b.vid = pp.vid and b.pop = pop2 group by 1, 2) select cast(pop1 as varchar) as pop1, cast(pop2 as varchar) as pop2, round(greatest(0, -ln(xy / sqrt(xx * yy))), 8) + 0.0 as dist from xy join ss using (pop1, pop2)")(
     lambda v: _rounded(distances.calc_unbiased_nei(v, min_num_genotypes=4), "dist")
 )
 query(
     "dest",
     NEI + ", al as (select distinct pp.vid, pop1, pop2, allele from pp join f on f.vid = pp.vid and f.pop in (pop1, pop2)), mt as (select al.vid, al.pop1, al.pop2, 1 - sum(pow((coalesce(a.p, 0) + coalesce(b.p, 0)) / 2, 2)) as ht from al left join f a on a.vid = al.vid and a.pop = pop1 and a.allele = al.allele left join f b on b.vid = al.vid and b.pop = pop2 and b.allele = al.allele group by 1, 2, 3)"
     ", x as (select mt.pop1, mt.pop2, ht, ((1 - sa.q) + (1 - sb.q)) / 2 as hs, (pa.ho + pb.ho) / 2 as ho, 2 / (1 / pa.m + 1 / pb.m) as n from mt join sq sa on sa.vid = mt.vid and sa.pop = pop1 join sq sb on sb.vid = mt.vid and sb.pop = pop2 join pm pa on pa.vid = mt.vid and pa.pop = pop1 join pm pb on pb.vid = mt.vid and pb.pop = pop2)"
-    ", y as (select *, n / (n - 1) * (hs - ho / (2 * n)) as hs2 from x), z as (select pop1, pop2, avg(hs2) as hs, avg(ht + hs2 / (2 * n) - ho / (4 * n)) as ht from y group by 1, 2) select cast(pop1 as varchar) as pop1, cast(pop2 as varchar) as pop2, round(2 * (ht - hs) / (1 - hs), 8) as dist from z",
+    ", y as (select *, n / (n - 1) * (hs - ho / (2 * n)) as hs2 from x), z as (select pop1, pop2, avg(hs2) as hs, avg(ht + hs2 / (2 * n) - ho / (4 * n)) as ht from y group by 1, 2) select cast(pop1 as varchar) as pop1, cast(pop2 as varchar) as pop2, round(2 * (ht - hs) / (1 - hs), 8) + 0.0 as dist from z",
 )(lambda v: _rounded(distances.calc_dest(v, min_num_genotypes=4), "dist"))
 query(
     "gst",
     ", x as (select vid, pop, dp, cast(dp * (cast(coalesce(a0, 0) > 0 as int) + cast(coalesce(a1, 0) > 0 as int)) // 2 as bigint) as alt from g), y as (select vid, pop, sum(dp - alt) / nullif(sum(dp), 0) as r, sum(alt) / nullif(sum(dp), 0) as o from x group by 1, 2)"
-    ", z as (select vid, avg(1 - r * r - o * o) as hs, 1 - avg(r) * avg(r) - avg(o) * avg(o) as ht, count(r) as k from y group by 1) select vid as row_idx, round(case when k < 5 then 0 else coalesce((ht - hs) / nullif(ht, 0), 0) end, 6) as gst from z",
+    ", z as (select vid, avg(1 - r * r - o * o) as hs, 1 - avg(r) * avg(r) - avg(o) * avg(o) as ht, count(r) as k from y group by 1) select vid as row_idx, round(case when k < 5 then 0 else coalesce((ht - hs) / nullif(ht, 0), 0) end, 6) + 0.0 as gst from z",
 )(lambda v: _rounded(distances.calc_gst_per_loci(v), "gst", digits=6))
