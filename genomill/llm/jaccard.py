@@ -4,10 +4,11 @@
 2. Two sets can only be similar if they meet in the ``n - ceil(t * n) + 1`` first members of either,
    in any common order; the order is from rare to frequent by a sketch that counted every text, so
    passages that many documents share come last and make no candidates.
-3. Nodes that meet in a shingle are first compared with its smallest node. What is still apart in
-   a shingle's group goes into tiles of nodes of like size; for each pair of tiles, hashed bitmaps
-   bound the overlap from above by bit counts, and pairs within the bound are compared exactly by
-   intersecting the sorted arrays.
+3. Nodes that meet in a shingle are first compared with its smallest node: hashed bitmaps bound the
+   overlap from above by bit counts, and pairs within the bound are compared exactly by
+   intersecting the sorted arrays. What is still apart in
+   a shingle's group goes into tiles of nodes of like size, and all pairs of tiles of like size are
+   compared in the same way.
 
 Groups are never held whole: they pass as sorted rows, and tiles have at most ``TILE`` nodes.
 Shingles are compared by 64-bit hashes.
@@ -35,7 +36,7 @@ CHUNKS = 32
 #: A shingle of more documents than this is dealt out over several groups.
 CROWD = 20_000
 TILE = 1024
-#: Candidate nodes up to this many (8 bytes each) are sent to all tasks instead of shuffling texts.
+#: Ids and digests up to this many are sent to all tasks instead of shuffling texts.
 SENT = 1_000_000
 BITS = (2048, 32768)
 
@@ -214,7 +215,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, how_many: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, similar: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that are similar."""
+    """The pairs (a, b) that are similar, by exact intersection."""
 
     def run(batches):
         for batch in batches:
@@ -226,23 +227,41 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, similar: tuple[int,
         left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
         distinct = list(dict.fromkeys([*left, *right]))
         sets = dict(zip(distinct, shingle_sets(pa.array(distinct, pa.large_string()), width), strict=True))
-        maps = {t: bitmap(s, BITS[0]) for t, s in sets.items()}
         good = []
-        for i, (s, t) in enumerate(zip(left, right, strict=True)):
-            x, y = sets[s], sets[t]
-            n, m = len(x), len(y)
-            most = overlap_bound(maps[s], n, maps[t][None, :], np.array([m]))[0]
-            if is_similar(most, n, m, similar) and is_similar(len(np.intersect1d(x, y, assume_unique=True)), n, m, similar):
+        for i, (x, y) in enumerate((sets[s], sets[t]) for s, t in zip(left, right, strict=True)):
+            if is_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similar):
                 good.append(i)
         return pa.RecordBatch.from_arrays([pa.array([x[i] for i in good], pa.int64()) for x in (a, b)], ["a", "b"])
 
     nodes = shared.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    texts = shared.keep(_texts(docs, nodes, nodes.count()), "texts")
+    texts = shared.keep(_texts(docs, nodes, nodes.count()).distinct(), "texts")
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     joined = joined.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _within(pairs: DataFrame, maps: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave room for enough overlap."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            left, right = batch.column("map_a").to_pylist(), batch.column("map_b").to_pylist()
+            sizes = np.array([(len(x), len(y)) for x, y in zip(left, right, strict=True)], dtype=np.int64).reshape(-1, 2)
+            good = np.zeros(len(n), dtype=bool)
+            for kind in np.unique(sizes, axis=0):
+                rows = np.flatnonzero((sizes == kind).all(axis=1))
+                x, y = (np.frombuffer(b"".join(side[i] for i in rows.tolist()), dtype=np.uint64).reshape(len(rows), -1) for side in (left, right))
+                words = min(x.shape[1], y.shape[1])
+                most = overlap_bound(fold(x, words), n[rows], fold(y, words), m[rows])
+                good[rows] = is_similar(np.minimum(most, np.minimum(n[rows], m[rows])), n[rows], m[rows], similar)
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+    one, two = (maps.select(*[F.col(c).alias(t) for c, t in (("node", s), ("n", f"n_{s}"), ("map", f"map_{s}"))]) for s in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(run, "a long, b long").distinct()
+
+
 def _maps(batches, width: int):
     for batch in batches:
         nodes = batch.column("node")
@@ -323,10 +342,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int
     shared.ship(spark)
     docs = docs.select("doc_id", "text")
     sets = shared.keep(_sets(docs, width, similar, crowd), "sets")
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"), F.first("salt").alias("salt"))
-    classes = shared.keep(classes, "classes")
-
-    rows = classes.select("node", F.explode(F.arrays_zip("prefix", "salt")).alias("x")).select(F.col("x.prefix").alias("token"), F.col("x.salt").alias("salt"), "node")
+    known = sets.where("n > 0 and doc_id is not null")
+    classes = shared.keep(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
+    copies = known.select("doc_id", "digest").join(classes, "digest").where("doc_id <> node").select("doc_id", "digest").distinct()
+    copies = shared.keep(copies, "copies")
+    copies = F.broadcast(copies) if copies.count() <= SENT else copies
+    one_each = known.join(copies, ["doc_id", "digest"], "left_anti")
+
+    rows = one_each.select(F.col("doc_id").alias("node"), F.explode(F.arrays_zip("prefix", "salt")).alias("x")).select(F.col("x.prefix").alias("token"), F.col("x.salt").alias("salt"), "node")
     rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
     groups = rows.mapInArrow(_groups, "token long, salt int, node long, leader long")
     groups = shared.keep(groups, "groups")
@@ -336,7 +359,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int
     first = heads.groupBy("token").agg(F.min("leader").alias("first"), F.count(F.lit(1)).alias("several")).where("several > 1").drop("several")
     heads = heads.join(first, "token").where("leader <> first").select(F.col("first").alias("a"), F.col("leader").alias("b"))
     pairs = shared.keep(stars.unionByName(heads).distinct(), "pairs")
-    links = shared.keep(_verified(pairs, docs, width, similar), "links")
+    nodes = shared.keep(groups.select("node").distinct(), "grouped")
+    maps = _texts(docs, nodes, nodes.count()).mapInArrow(lambda b: _maps(b, width), "node long, n long, map binary")
+    maps = shared.keep(maps.distinct(), "maps")
+    links = shared.keep(_verified(shared.keep(_within(pairs, maps, similar), "within"), docs, width, similar), "links")
     labels = shared.keep(components(links), "labels")
 
     apart = groups.select("token", "node").distinct().join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
@@ -345,10 +371,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int
     # in a group of two the pair has been compared
     apart = apart.join(mixed.where("comps > 1 and all > 2").select("token", "main"), "token").withColumn("rest", F.col("comp") != F.col("main")).drop("main")
     apart = shared.keep(apart, "apart")
-    nodes = shared.keep(apart.select("node").distinct(), "apart-nodes")
-    how_many = nodes.count()
-    if how_many:
-        maps = _texts(docs, nodes, how_many).mapInArrow(lambda b: _maps(b, width), "node long, n long, map binary")
+    if not apart.isEmpty():
         tiles = apart.join(maps, "node").select("token", "rest", "node", "comp", "n", "map")
         tiles = shared.keep(tiles.repartition("token").sortWithinPartitions("token", "rest", "n").mapInArrow(_tiles, TILES), "tiles")
         one = tiles.select("token", *[F.col(c).alias(f"a_{c}") for c in tiles.columns if c != "token"])
