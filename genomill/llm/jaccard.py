@@ -2,13 +2,13 @@
 
 1. Each text becomes a sorted array of 64-bit shingle hashes; equal sets are one node from then on.
 2. Two sets can only be similar if they meet in the ``n - ceil(t * n) + 1`` first members of either,
-   in any common order; the order is from rare to frequent by a sketch that counted every text, so
-   passages that many documents share come last and make no candidates.
+   in any common order; the order is from rare to frequent by counts over all texts, so shingles
+   that no other text has, which make no candidates, come first, and passages that many documents
+   share come last.
 3. Nodes that meet in a shingle are first compared with its smallest node: hashed bitmaps bound the
    overlap from above by bit counts, and pairs within the bound are compared exactly by
-   intersecting the sorted arrays. What is still apart in
-   a shingle's group goes into tiles of nodes of like size, and all pairs of tiles of like size are
-   compared in the same way.
+   intersecting the sorted arrays. What is still apart in a shingle's group goes into tiles of nodes
+   of like size, and all pairs of tiles of like size are compared in the same way.
 
 Groups are never held whole: they pass as sorted rows, and tiles have at most ``TILE`` nodes.
 Shingles are compared by 64-bit hashes.
@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from . import shared
 from .bytewise import U, Words, buffers, chain, mix, slices
 from .components import components
+from .files import Table, pack, part_of, unpack, write
 
 WIDTH = 5
 SIMILAR = (80, 100)
-#: Cells of the frequency sketch; it only orders shingles, so any size gives the same links.
-CELLS_LOG2 = 20
-CHUNKS = 32
+#: Shingles that a task sorts together, and bytes of text for each range of fingerprints.
+AT_ONCE = 4_000_000
+TEXT_PER_PART = 16 << 20
 #: A shingle of more documents than this is dealt out over several groups.
 CROWD = 20_000
 TILE = 1024
@@ -93,33 +94,72 @@ def is_similar(common, n, m, similar: tuple[int, int] = SIMILAR):
     return whole * common >= part * (n + m - common)
 
 
-def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How many texts have a shingle of each cell: a fixed number of cells, counted over all texts."""
-    cells = 1 << CELLS_LOG2
-    step = cells // CHUNKS
-
-    def count(batches):
-        total = np.zeros(cells, dtype=np.uint64)
-        for batch in batches:
-            for members in _some(shingle_sets(batch.column("text"), width), 1 << 20):
-                total += np.bincount((members >> U(64 - CELLS_LOG2)).astype(np.int64), minlength=cells).astype(np.uint64)
-        kind = np.min_scalar_type(int(total.max()))
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([total[i * step : (i + 1) * step].astype(kind).tobytes() for i in range(CHUNKS)])], ["chunk", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                more = np.frombuffer(counts, dtype=f"u{len(counts) // step}").astype(np.uint64)
-                sums[i] = sums[i] + more if i in sums else more
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
-
-    kind = "chunk int, counts binary"
-    parts = docs.select("text").mapInArrow(count, kind).repartition(CHUNKS, "chunk").mapInArrow(add, kind)
-    out = np.zeros(cells, dtype=np.uint64)
-    for i, counts in parts.collect():
-        out[i * step : (i + 1) * step] = np.frombuffer(counts, dtype=np.uint64)
-    return np.minimum(out, 0xFFFFFFFF).astype(np.uint32)
+def _prints(batches, width: int, bits: int, parts: int):
+    """Fingerprints of the shingles of each text, the upper ``bits`` of their hashes, packed by part; a text counts once for each."""
+    for batch in batches:
+        for members in _some(shingle_sets(batch.column("text"), width), AT_ONCE):
+            found, n = np.unique(members >> U(64 - bits), return_counts=True)
+            cuts = np.searchsorted(part_of(found << U(64 - bits), parts), np.arange(parts + 1))
+            filled = np.flatnonzero(np.diff(cuts)).tolist()
+            data = [_packed(found[cuts[p] : cuts[p + 1]], n[cuts[p] : cuts[p + 1]]) for p in filled]
+            yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+
+
+def _packed(found: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted numbers as steps of 16 bits, a full step for those that are too far, and the counts that aren't 1."""
+    steps = np.diff(found, prepend=U(0)).astype(np.int64)
+    steps[0] = 0
+    far, rest = np.divmod(steps, 0xFFFF)
+    out = np.full(int(far.sum()) + len(steps), 0xFFFF, dtype=np.uint16)
+    out[np.cumsum(far + 1) - 1] = rest
+    several = np.flatnonzero(n > 1)
+    return pack(found[:1], out, several, n[several])
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    first, steps, several, more = unpack(data)
+    steps = steps.astype(np.uint64)
+    found = (np.cumsum(steps) + first[0])[steps != 0xFFFF]
+    n = np.ones(len(found), dtype=np.int64)
+    n[several.astype(np.int64)] = more
+    return found, n
+
+
+def _repeated(batches, bits: int, uri: str):
+    """Writes, for each part, the fingerprints that several texts have, with how many; yields which parts have any."""
+    got: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            got.setdefault(part, []).append(data)
+    filled = []
+    for part in sorted(got):
+        found, n = (np.concatenate(x) for x in zip(*map(_unpacked, got.pop(part)), strict=True))
+        order = np.argsort(found)
+        found, n = found[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        n = np.add.reduceat(n, first)
+        found = found[first][n > 1] << U(64 - bits)
+        n = n[n > 1]
+        if len(n):
+            write(f"{uri}/{part:06d}.bin", [found, n.astype(np.min_scalar_type(int(n.max())))])
+            filled.append(part)
+    yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32())], ["part"])
+
+
+def _frequent(docs: DataFrame, width: int) -> tuple[Table, int]:
+    """How many texts have a shingle, for those that several have: arrays in the shared folder, which workers map.
+
+    Fingerprints have some bits more than it takes to tell all shingles apart; where two fall
+    together they only seem more frequent than they are.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // TEXT_PER_PART))
+    bits = max(36, int(size).bit_length() + 4)
+    uri = shared.place(spark, "shingles")
+    rows = docs.select("text").mapInArrow(lambda b: _prints(b, width, bits, parts), "part int, data binary")
+    filled = rows.repartition(parts, "part").mapInArrow(lambda b: _repeated(b, bits, uri), "part int").collect()  # part numbers
+    return Table(uri, parts, {r.part for r in filled}), bits
 
 
 def _some(arrays: Iterator[np.ndarray], size: int) -> Iterator[np.ndarray]:
@@ -136,33 +176,33 @@ def _some(arrays: Iterator[np.ndarray], size: int) -> Iterator[np.ndarray]:
 
 
 def _sets(docs: DataFrame, width: int, similar: tuple[int, int], crowd: int) -> DataFrame:
-    """doc_id, n, digest of the set, prefix: first members, salt: each one's group if it has several."""
-    counted = docs.sparkSession.sparkContext.broadcast(_sketch(docs, width))
+    """doc_id, n, digest of the set, prefix: those of its first members that other texts have, salt: each one's group if it has several."""
+    table, bits = _frequent(docs, width)
+    mask = U((1 << 64) - (1 << (64 - bits)))
 
     def run(batches):
         for batch in batches:
             texts, ids = batch.column("text"), batch.column("doc_id")
-            for first in range(0, len(batch), 2048):
-                yield from some(texts.slice(first, 2048), ids.slice(first, 2048))
+            for first in range(0, len(batch), 1024):
+                yield some(texts.slice(first, 1024), ids.slice(first, 1024))
 
     def some(texts, ids):
-        n, digests, prefixes, salts = [], [], [], []
-        for members, doc in zip(shingle_sets(texts, width), ids.to_pylist(), strict=True):
-            n.append(len(members))
+        sets = list(shingle_sets(texts, width))
+        keys, where = np.unique(np.concatenate(sets) & mask if sets else np.zeros(0, np.uint64), return_inverse=True)
+        often = table.find(keys, 1)[0][where]
+        ends = np.cumsum([len(m) for m in sets])
+        digests, prefixes, salts = [], [], []
+        for members, end, doc in zip(sets, ends.tolist(), ids.to_pylist(), strict=True):
             digests.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest() if len(members) else None)
-            length = prefix_length(len(members), similar)
-            if not length:
-                prefixes.append(members[:0].view(np.int64))
-                salts.append(np.zeros(0, np.int32))
-                continue
-            often = counted.value[(members >> U(64 - CELLS_LOG2)).astype(np.int64)]
-            chosen = np.argsort(often, kind="stable")[:length]
+            n = often[end - len(members) : end]
+            chosen = np.argsort(n, kind="stable")[: prefix_length(len(members), similar)]
+            chosen = chosen[n[chosen] > 1]  # what no other text has meets none
             prefixes.append(members[chosen].view(np.int64))
-            groups = often[chosen] // crowd + 1
-            salts.append(np.where(groups > 1, 1 + (doc or 0) % groups.astype(np.int64), 0).astype(np.int32))
+            groups = n[chosen] // crowd + 1
+            salts.append(np.where(groups > 1, 1 + (doc or 0) % groups, 0).astype(np.int32))
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x))) for x in (prefixes, salts)]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n", "digest", "prefix", "salt"])
+        return pa.RecordBatch.from_arrays([ids, pa.array([len(m) for m in sets], pa.int64()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n", "digest", "prefix", "salt"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, salt array<int>")
 
