@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .special import bound
+
 MIN_GENOTYPES = 10
 
 
@@ -171,8 +173,8 @@ def major_allele(calls: Column) -> Column:
 
 def dosages(calls: Column) -> Column:
     """For each call the number of alleles that aren't the major one, null if any is missing."""
-    major = major_allele(calls)
-    return F.transform(calls, lambda c: F.when(~is_missing(c["gt"]), F.size(F.filter(c["gt"], lambda a: a != major))))
+    dose = lambda c, major: F.when(~is_missing(c["gt"]), F.size(F.filter(c["gt"], lambda a: a != major)))
+    return bound({"major": major_allele(calls)}, lambda s: F.transform(calls, lambda c: dose(c, s["major"])))
 
 
 def times(calls: Column, allele: int) -> Column:

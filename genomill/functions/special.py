@@ -41,8 +41,17 @@ def erfc_column(z: Column) -> Column:
     return t * F.exp(-z * z + poly)
 
 
+def bound(values: dict[str, Column], body) -> Column:
+    """body of the named values, each of which is worked out once."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
 def chi2_tail_column(x: Column, freedom: Column) -> Column:
     """P(X > x) as an expression: exact for even degrees of freedom, to 1e-7 for odd ones; null below one degree."""
+    return bound({"x": x, "k": freedom}, lambda s: _tail(s["x"], s["k"]))
+
+
+def _tail(x: Column, freedom: Column) -> Column:
     half = x / 2
     steps = F.sequence(F.lit(1), F.greatest(freedom, F.lit(1)).cast("int"))
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
@@ -56,6 +65,10 @@ def chi2_tail_column(x: Column, freedom: Column) -> Column:
 
 def contingency_column(one: Column, two: Column) -> Column:
     """p of two arrays of (key, n) being of one distribution; corrected for one degree of freedom, 1 for none, null if a side is empty."""
+    return bound({"one": one, "two": two}, lambda s: _contingency(s["one"], s["two"]))
+
+
+def _contingency(one: Column, two: Column) -> Column:
     total = lambda side: F.aggregate(side, F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
     r1, r2 = total(one), total(two)
     whole = (r1 + r2).cast("double")

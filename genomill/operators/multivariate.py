@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import genotype as g
+from ..functions.special import bound
 from .table import Variations
 
 
@@ -23,8 +24,9 @@ def gram_matrix(v: Variations) -> DataFrame:
     """i, j, s: sums over variants of the products of centred dosages times the samples squared, in whole numbers; missing counts as -1."""
     dose = F.transform(g.dosages(F.col("calls")), lambda d: F.coalesce(d, F.lit(-1)).cast("long"))
     n = len(v.samples)
-    rows = v.df.select(dose.alias("d")).withColumn("t", F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x))
-    rows = rows.select(F.transform("d", lambda x: x * n - F.col("t")).alias("x"))
+    total = lambda d: F.aggregate(d, F.lit(0).cast("long"), lambda a, x: a + x)
+    centred = bound({"d": dose}, lambda s: bound({"t": total(s["d"])}, lambda u: F.transform(s["d"], lambda x: x * n - u["t"])))
+    rows = v.df.select(centred.alias("x"))
     pairs = rows.select(F.posexplode("x").alias("i", "a"), "x").select("i", "a", F.posexplode("x").alias("j", "b")).where("i <= j")
     return pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
 

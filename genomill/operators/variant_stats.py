@@ -139,7 +139,9 @@ def hwe(v: Variations, num_allele: int = 2, min_num_genotypes: int = g.MIN_GENOT
 def calc_hwe_chi2_test(v: Variations, num_allele: int = 2, min_num_genotypes: int = g.MIN_GENOTYPES, textbook: bool = False) -> DataFrame:
     """row_idx, chi2, pvalue."""
     rows = hwe(v, num_allele, min_num_genotypes, textbook)
-    return rows.select("row_idx", "chi2", chi2_tail_column(F.col("chi2"), F.col("dof")).alias("pvalue"))
+    dof = len(list(combinations_with_replacement(range(num_allele), v.ploidy))) - 1
+    p = F.exp(-F.col("chi2") / 2) if dof == 2 else chi2_tail_column(F.col("chi2"), F.lit(dof))
+    return rows.select("row_idx", "chi2", p.alias("pvalue"))
 
 
 def calc_maf_depth(v: Variations, min_depth: int = 10) -> DataFrame:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import distances, filters, histograms, linkage, ordering, populations, samples, transforms, variant_stats, windows
+from ..operators import blocks, distances, filters, histograms, linkage, merge, multivariate, ordering, populations, samples, transforms, variant_stats, windows
 from ..operators.table import Variations
+from ..sinks import fasta
 from . import fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +222,43 @@ query(
     ", x as (select vid, pop, dp, cast(dp * (cast(coalesce(a0, 0) > 0 as int) + cast(coalesce(a1, 0) > 0 as int)) // 2 as bigint) as alt from g), y as (select vid, pop, sum(dp - alt) / nullif(sum(dp), 0) as r, sum(alt) / nullif(sum(dp), 0) as o from x group by 1, 2)"
     ", z as (select vid, avg(1 - r * r - o * o) as hs, 1 - avg(r) * avg(r) - avg(o) * avg(o) as ht, count(r) as k from y group by 1) select vid as row_idx, round(case when k < 5 then 0 else coalesce((ht - hs) / nullif(ht, 0), 0) end, 6) + 0.0 as gst from z",
 )(lambda v: _rounded(distances.calc_gst_per_loci(v), "gst", digits=6))
+
+# --- tests, merging, blocks, sequences
+
+query("hwe_test", ORACLES["hwe"].removeprefix(fixture.SQL).replace(" as chi2, 2 as dof from e", " as chi2, round(exp(-((o0 - e0) * (o0 - e0) / nullif(e0, 0) + (o1 - e1) * (o1 - e1) / nullif(e1, 0) + (o2 - e2) * (o2 - e2) / nullif(e2, 0)) / 2), 6) as pvalue from e"))(
+    lambda v: _rounded(variant_stats.calc_hwe_chi2_test(v), "chi2", "pvalue", digits=6)
+)
+query(
+    "tajima",
+    ", x as (select vid, count(a0) as n from g group by vid), al as (select vid, a0, count(*) as c from g where a0 is not null group by 1, 2), h as (select vid, count(*) as k, 1 - sum(pow(c / n, 2)) as h, min(n) as n from al join x using (vid) group by vid)"
+    " select count_if(k > 1) as seg_sites, round(sum(case when n > 1 then n / (n - 1) * h end), 6) as pi from h",
+)(lambda v: _rounded(variant_stats.tajima(v, 0, haplotype=0).select("seg_sites", "pi"), "pi", digits=6))
+query("tajima_by_pop")(lambda v: populations.calc_tajima_d_and_pi_for_pops(v, min_num_genotypes=4, haplotype=0))
+
+
+def _second(v: Variations) -> Variations:
+    """A second table: two thirds of the variants, some of them one base further on."""
+    rows = v.df.where(F.col("row_idx") % 3 != 0).withColumn("pos", (F.col("pos") + F.col("row_idx") % 2).cast("int"))
+    return v.having(rows, samples=[f"{s}-2" for s in v.samples])
+
+
+query("overlap_groups", ", u as (select chrom, pos, 1 as side from v union all select chrom, pos + vid % 2, 2 from v where vid % 3 <> 0), r as (select *, dense_rank() over (partition by chrom order by pos) as grp from u) select chrom, grp as \"group\", count_if(side = 1) as n1, count_if(side = 2) as n2 from r group by 1, 2")(
+    lambda v: merge.group_counts(v.df, _second(v).df)
+)
+query("merge", ", u as (select chrom, pos from v union select chrom, pos + vid % 2 from v where vid % 3 <> 0) select chrom, cast(pos as int) as pos, 50 as n_samples from u")(
+    lambda v: merge.merge(v, _second(v), check_ref_matches=False, ignore_complex_overlaps=True).df.select("chrom", "pos", F.size("calls").alias("n_samples"))
+)
+query("blocks")(lambda v: blocks.generate_blocks(v, difference_rate_allowed=0.3))
+query(
+    "gram_matrix",
+    MAJOR + ", d as (select vid, sid, coalesce(dose, -1) as d from ds), x as (select vid, sid, d * 25 - sum(d) over (partition by vid) as x from d) select cast(a.sid as int) as i, cast(b.sid as int) as j, cast(sum(a.x * b.x) as bigint) as s from x a join x b on a.vid = b.vid and a.sid <= b.sid group by 1, 2",
+)(multivariate.gram_matrix)
+query("fasta", " select cast(sid as int) as sample_idx, cast(hap as int) as hap, concat(sample, '_hap', cast(hap + 1 as varchar)) as name, string_agg(case when allele = 0 then ref when allele = 1 then alt1 when allele = 2 then alt2 else 'N' end, '' order by vid) as sequence from a join v using (vid) join s using (sid) group by 1, 2, 3")(
+    fasta.sequences
+)
+query("pairs_in_range", " select a.vid as a, b.vid as b, cast(b.pos - a.pos as int) as dist from v a join v b on a.chrom = b.chrom and b.pos > a.pos and b.pos - a.pos <= 250")(lambda v: linkage.iterate_pairs(v, 250))
+query("field_value_filter", " select vid as row_idx from v where ref = 'A'")(lambda v: filters.FieldValueFilter("ref", "A")(v).kept.df.select("row_idx"))
+query("sample_filter", " select vid as row_idx, count_if(called) as n from m where sid in (2, 5, 7) group by 1")(lambda v: variant_stats.calc_called_gt(filters.SamplesFilterByIndex([2, 5, 7])(v), rates=False).withColumnRenamed("called", "n"))
+query("samples_by_called_rate", " select cast(sid as int) as sample_idx from m group by 1 having avg(cast(called as int)) > 0.9")(
+    lambda v: v.df.sparkSession.createDataFrame([(v.samples.index(s),) for s in filters.filter_samples_by_missing_rate(v, 0.9).samples], "sample_idx int")
+)
