@@ -75,7 +75,8 @@ def known_alleles(calls: Column) -> Column:
 
 def counts_of(values: Column) -> Column:
     """Array of (allele, n) in order of allele."""
-    return F.transform(F.array_sort(F.array_distinct(values)), lambda a: F.struct(a.alias("allele"), F.size(F.filter(values, lambda x: x == a)).cast("long").alias("n")))
+    count = lambda v, a: F.struct(a.alias("allele"), F.size(F.filter(v, lambda x: x == a)).cast("long").alias("n"))
+    return bound({"v": values}, lambda s: F.transform(F.array_sort(F.array_distinct(s["v"])), lambda a: count(s["v"], a)))
 
 
 def allele_counts(calls: Column) -> Column:
@@ -102,8 +103,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 def major_frequency(calls: Column, least: int = MIN_GENOTYPES) -> Column:
     """The largest allele frequency."""
-    counts = allele_counts(calls)
-    return masked(ratio(largest(counts), total(counts)), n_called(calls), least)
+    share = bound({"c": allele_counts(calls)}, lambda s: ratio(largest(s["c"]), total(s["c"])))
+    return masked(share, n_called(calls), least)
 
 
 def major_count(calls: Column, ploidy: int, least: int = MIN_GENOTYPES) -> Column:
