@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host come from the same programs. The DOM trees of a bounded number of different pages
-of a host, with runs of like siblings folded into one, are aligned by simple tree matching. Nodes
-whose text is the same wherever they occur become template; nodes whose text varies are slots.
+Pages of a host come from the same programs. All different pages of a host are aligned by the paths
+of their nodes, like siblings being one node, and for each path and text at it the pages that have
+it are counted. Text that nearly all pages repeat at their path is template; the rest are slots.
 Every page of the host is then aligned with that wrapper. Its article is the element that says so,
 or else the smallest element that holds most of the varying text; menus, notices, adverts, forms
 and reader comments inside it are left out.
@@ -11,23 +11,25 @@ and reader comments inside it are left out.
 from __future__ import annotations
 
 import html
-import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: Pages of a host that its wrapper is learned from: those of the smallest hashes among different pages.
-PAGES = 8
 #: Wrappers up to this many bytes in all are sent to every task; beyond, pages are joined with them by host.
 SENT = 16 << 20
-#: Text that this share of the pages that have the node repeat is template.
+#: Text that this share of the pages that have the node repeat is template, if they are LEAST or more.
 CONSTANT = 0.9
+LEAST = 3
+#: Counts that a task holds before it passes them on.
+HELD = 200_000
 
 # Fixed values of HTML: elements without content, of raw text, that end a paragraph, that an equal one ends, and inline ones.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -236,20 +238,83 @@ def aligned(a: list, b: list) -> list:
     return [a[0], a[1] + b[1], texts, children]
 
 
-def induced(pages: list[str]) -> list | None:
-    """The wrapper of different pages: their folded trees, aligned one after the other."""
-    wrapper = None
-    for page in sorted(set(pages)):
-        tree = folded(parse(page))
-        wrapper = tree if wrapper is None else aligned(wrapper, tree)
-    return wrapper
+# --- units: what is counted and, as template, left out
 
 
-def template_texts(wrapper: list, least: int = 3) -> list:
-    """[key, texts that are template, children]: texts that most of the at least ``least`` pages repeat."""
-    key, n, texts, children = wrapper
-    fixed = [t for t, k in texts.items() if n >= least and k >= CONSTANT * n]
-    return [key, fixed, [template_texts(c, least) for c in children]]
+def _hash(*parts: str) -> int:
+    return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def units(root: Node) -> list[tuple[str, str, list[tuple[list, int]]]]:
+    """(path, text, places) of the texts of a page that may be template.
+
+    A unit is the text between two bounds of blocks, inline elements included, or an inline element
+    that has a class or an id. Its places are the lists and positions of its parts in the tree.
+    """
+    out: list[tuple[str, str, list[tuple[list, int]]]] = []
+    run: list[tuple[list, int, str]] = []
+    runs = 0
+
+    def ended(path: str, parts: list) -> None:
+        text = " ".join(html.unescape("".join(t for _, _, t in parts)).split())
+        if text:
+            out.append((path, text, [(inside, i) for inside, i, _ in parts]))
+
+    def walk(n: Node, block: str, path: str) -> None:
+        nonlocal runs
+        for i, x in enumerate(n.inside):
+            if isinstance(x, str):
+                run.append((n.inside, i, x))
+                continue
+            apart = x.tag in BLOCK or x.tag == "br"
+            inner = f"{path}>{x.key()}"
+            at, before = len(run), runs
+            if apart:
+                ended(block, run)
+                run.clear()
+                runs += 1
+            if not is_away(x, True):
+                walk(x, inner if apart else block, inner)
+            if apart:
+                ended(inner, run)
+                run.clear()
+                runs += 1
+            elif runs == before and ("class" in x.attributes or "id" in x.attributes):
+                ended(inner, run[at:])
+
+    walk(root, "", "")
+    ended("", run)
+    return out
+
+
+def counted(pages: Iterator[tuple[str, str, float]]) -> Iterator[Counter]:
+    """Pages by (host, path hash, 0) and by (host, path hash, unit hash), from (host, page, weight)."""
+    out: Counter = Counter()
+    for host, page, weight in pages:
+        seen = set()
+        for path, text, _ in units(parse(page)):
+            seen.add((host, _hash(path), 0))
+            seen.add((host, _hash(path), _hash(path, text)))
+        for key in seen:
+            out[key] += weight
+        if len(out) >= HELD:
+            yield out
+            out = Counter()
+    yield out
+
+
+def without(root: Node, template: frozenset[int]) -> None:
+    """Takes the units that are template out of a page; a page that is template as a whole stays as it is."""
+    gone = []
+    rest = False
+    for path, text, places in units(root):
+        if _hash(path, text) in template:
+            gone += places
+        else:
+            rest = True
+    if rest:
+        for inside, i in gone:
+            inside[i] = " "
 
 
 def _find(node: Node, test) -> Iterator[Node]:
@@ -262,36 +327,17 @@ def _find(node: Node, test) -> Iterator[Node]:
                 yield from _find(x, test)
 
 
-def _constant_nodes(node: Node, wrapper: list, out: set[int]) -> None:
-    """ids of nodes whose own text the wrapper has as template at their place."""
-    elements = [x for x in node.inside if isinstance(x, Node)]
-    at = 0
-    names = [w[0] for w in wrapper[2]]
-    for x in elements:
-        key = x.key()
-        here = at if at < len(names) and names[at] == key else next((i for i in range(at, len(names)) if names[i] == key), None)
-        if here is None:
-            continue
-        at = here
-        w = wrapper[2][here]
-        own = " ".join("".join(t for t in x.inside if isinstance(t, str)).split())
-        if own and crc32(own.encode()) in w[1]:
-            out.add(id(x))
-        _constant_nodes(x, w, out)
-
-
-def extract(page: str, wrapper: list | None = None) -> str:
-    """The text of a page's article; ``wrapper`` as of template_texts."""
+def extract(page: str, template: frozenset[int] = frozenset()) -> str:
+    """The text of a page's article; ``template``: the hashes of units that are template on its host."""
     root = parse(page)
     for test in (lambda x: x.tag == "article", lambda x: x.tag == "main" or x.attributes.get("role") == "main", lambda x: x.attributes.get("itemprop") == "articleBody"):
         found = list(_find(root, test))
         if found:
             texts = [text_of(x, lambda y: is_away(y, True)) for x in found]
             return max(texts, key=len)
-    constant: set[int] = set()
-    if wrapper is not None:
-        _constant_nodes(root, wrapper, constant)
-    away = lambda y: is_away(y, False) or id(y) in constant
+    if template:
+        without(root, template)
+    away = lambda y: is_away(y, False)
     best = root
     whole = len(text_of(root, away))
     while True:
@@ -308,48 +354,54 @@ def main_text(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     A null html is an empty page, whose text is empty; a null url or one without a host belongs to
-    the host of no name. Wrappers are learned from ``PAGES`` different pages of each host and used
-    for all its pages; a host of fewer than three different pages has no template. Repeated rows give repeated
-    rows, an empty table an empty one; other columns are ignored.
+    the host of no name. Template is counted over all different pages of each host; text on fewer
+    than ``LEAST`` of them is none. Repeated rows give repeated rows, an empty table an empty one;
+    other columns are ignored.
     """
     spark = pages.sparkSession
     shared.ship(spark)
     host = F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit("")))
     rows = pages.select("page_id", "url", "html").withColumn("host", host)
-    # The smallest hashes of a host are found in tasks first, then among salts, then of all: no task sees a host's pages.
-    marks = rows.where("html is not null").select("host", F.xxhash64("html").alias("mark")).distinct()
-    marks = marks.withColumn("salt", F.pmod("mark", F.lit(64)))
-    for keys in (["host", "salt"], ["host"]):
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("mark"))
-        marks = marks.withColumn("nth", nth).where(F.col("nth") <= PAGES).drop("nth")
-    marks = shared.keep(marks.select("host", "mark"), "marks")
-    chosen = rows.where("html is not null").withColumn("mark", F.xxhash64("html"))
-    how_many = marks.count()
-    chosen = chosen.join(F.broadcast(marks) if how_many <= SENT // 64 else marks, ["host", "mark"], "left_semi")
-    chosen = chosen.groupBy("host", "mark").agg(F.min("html").alias("html"))
-
-    def learn(table: pa.Table) -> pa.Table:
-        wrapper = template_texts(induced(table["html"].to_pylist()))
-        return pa.table({"host": table["host"][:1].combine_chunks(), "wrapper": pa.array([json.dumps(wrapper, separators=(",", ":"))], pa.string())})
-
-    wrappers = shared.keep(chosen.select("host", "html").groupBy("host").applyInArrow(learn, "host string, wrapper string"), "wrappers")
-    size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
+    # Copies of a page count as one page: each has its share of it.
+    marked = rows.where("html is not null").select("host", "html", F.xxhash64("html").alias("mark"))
+    copies = shared.keep(marked.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "copies")
+    few = copies.count() <= SENT // 64
+    marked = marked.join(F.broadcast(copies) if few else copies, ["host", "mark"], "left")
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        def all_pages():
+            for batch in batches:
+                for h, page, times in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "times")), strict=True):
+                    yield h, page, 1.0 / (times or 1)
+
+        for some in counted(all_pages()):
+            hosts, paths, texts = zip(*some, strict=True) if some else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(texts, pa.int64()), pa.array(some.values(), pa.float64())], ["host", "path", "unit", "pages"])
+
+    # Tasks combine their counts first, and keys hold the text: no task sees a host's pages.
+    counts = marked.select("host", "html", "times").mapInArrow(count, "host string, path long, unit long, pages double")
+    counts = counts.groupBy("host", "path", "unit").agg(F.round(F.sum("pages"), 3).alias("pages")).where(F.col("pages") >= LEAST)
+    counts = shared.keep(counts, "counts")
+    of = counts.where("unit = 0").select("host", "path", F.col("pages").alias("all"))
+    fixed = counts.where("unit <> 0").join(of, ["host", "path"]).where(F.col("pages") >= CONSTANT * F.col("all"))
+    wrappers = shared.keep(fixed.groupBy("host").agg(F.array_sort(F.collect_set("unit")).alias("template")), "wrappers")
+    size = wrappers.agg(F.sum(8 * F.size("template"))).first()[0] or 0
     rows = rows.join(F.broadcast(wrappers) if size <= SENT else wrappers, "host", "left")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        known: dict[str, frozenset[int]] = {}
         for batch in batches:
             out = []
-            for page, text in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-                if text is not None and text not in known:
+            for h, page, i in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), range(len(batch)), strict=True):
+                if h not in known:
                     if len(known) >= 256:
                         known.clear()
-                    known[text] = json.loads(text)
-                out.append(extract(page, known.get(text)) if page else "")
+                    known[h] = frozenset(batch.column("template")[i].as_py() or ())
+                out.append(extract(page, known[h]) if page else "")
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
-    return rows.select("page_id", "url", "html", "wrapper").mapInArrow(run, kind)
+    return rows.select("page_id", "url", "html", "host", "template").mapInArrow(run, kind)
 
 
 #: For pages whose article is an ``article`` element without other parts in it.

@@ -148,3 +148,15 @@ def test_tree_matching():
     assert wrappers.matching(a, b) == 5 and [wrappers.pairs(a[3][0], b[3][0])] == [[(0, 1), (1, 2)]]
     both = wrappers.aligned(a, b)
     assert [(c[0], c[1]) for c in both[3][0][3]] == [("h1", 1), ("p", 2), ("ul", 2)]
+
+
+def test_template_is_counted_over_all_pages_of_a_host(spark):
+    # 40 pages of one type and 5 of another, and wording that a few of the many pages share by chance
+    often = '<body><div class="often"><p>{i} one text {i}</p><p>{same}</p></div></body>'
+    seldom = '<body><div class="seldom"><p>{i} other text {i}</p><div class="x">Rare menu</div></div></body>'
+    rows = [(i, f"http://h.example/{i}", often.replace("{i}", f"w{i}").replace("{same}", "Same by chance" if i < 12 else f"last {i}")) for i in range(40)]
+    rows += [(i, f"http://h.example/{i}", seldom.replace("{i}", f"w{i}")) for i in range(40, 45)]
+    rows += [(50, "http://copies.example/a", "<p>a copied page"), (51, "http://copies.example/b", "<p>a copied page"), (52, "http://copies.example/c", "<p>a copied page")]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert all(got[i] == f"w{i} one text w{i} Same by chance" for i in range(12)) and got[20] == "w20 one text w20 last 20"
+    assert all(got[i] == f"w{i} other text w{i}" for i in range(40, 45)) and {got[50], got[51], got[52]} == {"a copied page"}
