@@ -3,9 +3,10 @@
 Pages of a host come from the same programs. All different pages of a host are aligned by the paths
 of their nodes, like siblings being one node, and for each path and text at it the pages that have
 it are counted. Text that nearly all pages repeat at their path is template; the rest are slots.
-Every page of the host is then aligned with that wrapper. Its article is the element that says so,
-or else the smallest element that holds most of the varying text; menus, notices, adverts, forms
-and reader comments inside it are left out.
+Every page of the host is aligned with that wrapper first, and what is template goes, wherever it
+is. Of what varies, the article is the element that says so, if it holds half of it or more, or
+else the smallest element that holds most of it; menus, notices, adverts, forms and reader comments
+inside it are left out.
 """
 
 from __future__ import annotations
@@ -330,16 +331,18 @@ def _find(node: Node, test) -> Iterator[Node]:
 def extract(page: str, template: frozenset[int] = frozenset()) -> str:
     """The text of a page's article; ``template``: the hashes of units that are template on its host."""
     root = parse(page)
+    if template:
+        without(root, template)
+    away = lambda y: is_away(y, False)
+    whole = len(text_of(root, away))
     for test in (lambda x: x.tag == "article", lambda x: x.tag == "main" or x.attributes.get("role") == "main", lambda x: x.attributes.get("itemprop") == "articleBody"):
         found = list(_find(root, test))
         if found:
             texts = [text_of(x, lambda y: is_away(y, True)) for x in found]
-            return max(texts, key=len)
-    if template:
-        without(root, template)
-    away = lambda y: is_away(y, False)
+            text = max(texts, key=len)
+            if 2 * len(text) >= whole:
+                return text
     best = root
-    whole = len(text_of(root, away))
     while True:
         inner = [(len(text_of(x, away)), i, x) for i, x in enumerate(best.inside) if isinstance(x, Node) and x.tag in BLOCK and x.tag not in ("p", "li", "tr", "td") and not away(x)]
         if not inner or max(inner)[0] < 0.8 * whole:

@@ -160,3 +160,13 @@ def test_template_is_counted_over_all_pages_of_a_host(spark):
     got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
     assert all(got[i] == f"w{i} one text w{i} Same by chance" for i in range(12)) and got[20] == "w20 one text w20 last 20"
     assert all(got[i] == f"w{i} other text w{i}" for i in range(40, 45)) and {got[50], got[51], got[52]} == {"a copied page"}
+
+
+def test_the_wrapper_decides_pages_with_an_article(spark):
+    page = "<body><article><h1>{i} head</h1><div>Get our letter every week</div><p>{i} text</p></article></body>"
+    cards = "<body><article><p>{i} see too</p></article><div>{i} the story itself is here, outside the card, and it is long</div></body>"
+    rows = [(i, f"http://a.example/{i}", page.replace("{i}", f"w{i}")) for i in range(5)]
+    rows += [(i, f"http://b.example/{i}", cards.replace("{i}", f"w{i}")) for i in range(5, 10)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"w{i} head w{i} text" for i in range(5))
+    assert all(got[i] == f"w{i} see too w{i} the story itself is here, outside the card, and it is long" for i in range(5, 10))
