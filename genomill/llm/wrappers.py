@@ -5,8 +5,7 @@ of their nodes, like siblings being one node, and for each path and text at it t
 it are counted. Text that nearly all pages repeat at their path is template; the rest are slots.
 Every page of the host is aligned with that wrapper first, and what is template goes, wherever it
 is. Of what varies, the article is the element that says so, if it holds half of it or more, or
-else the smallest element that holds most of it; menus, notices, adverts, forms and reader comments
-inside it are left out.
+else all of it; menus, notices, adverts, forms and reader comments inside it are left out.
 """
 
 from __future__ import annotations
@@ -342,12 +341,7 @@ def extract(page: str, template: frozenset[int] = frozenset()) -> str:
             text = max(texts, key=len)
             if 2 * len(text) >= whole:
                 return text
-    best = root
-    while True:
-        inner = [(len(text_of(x, away)), i, x) for i, x in enumerate(best.inside) if isinstance(x, Node) and x.tag in BLOCK and x.tag not in ("p", "li", "tr", "td") and not away(x)]
-        if not inner or max(inner)[0] < 0.8 * whole:
-            return text_of(best, away)
-        best = max(inner)[2]
+    return text_of(root, away)
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"

@@ -170,3 +170,8 @@ def test_the_wrapper_decides_pages_with_an_article(spark):
     got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"w{i} head w{i} text" for i in range(5))
     assert all(got[i] == f"w{i} see too w{i} the story itself is here, outside the card, and it is long" for i in range(5, 10))
+
+
+def test_all_varying_text_stays():
+    long = "story " * 30
+    assert wrappers.extract(f"<body><div class=lead>Headline and lead</div><div class=story>{long}</div><p>The end</p></body>") == f"Headline and lead {long}The end"
