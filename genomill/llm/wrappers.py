@@ -4,7 +4,7 @@ Pages of a host come from the same programs. All different pages of a host are a
 of their nodes, like siblings being one node, and for each path and text at it the pages that have
 it are counted. Text that nearly all pages repeat at their path is template; the rest are slots.
 Every page of the host is aligned with that wrapper first, and what is template goes, wherever it
-is. Of what varies, the article is the element that says so, if it holds half of it or more, or
+is. Of what varies, the article is the elements that say so, if they hold half of it or more, or
 else all of it; menus, notices, adverts, forms and reader comments inside it are left out.
 """
 
@@ -337,8 +337,8 @@ def extract(page: str, template: frozenset[int] = frozenset()) -> str:
     for test in (lambda x: x.tag == "article", lambda x: x.tag == "main" or x.attributes.get("role") == "main", lambda x: x.attributes.get("itemprop") == "articleBody"):
         found = list(_find(root, test))
         if found:
-            texts = [text_of(x, lambda y: is_away(y, True)) for x in found]
-            text = max(texts, key=len)
+            found = [x for x in found if not x.names() & NAMES or x.names() & NOT_NAMES] or found
+            text = " ".join(t for x in found if (t := text_of(x, lambda y: is_away(y, True))))
             if 2 * len(text) >= whole:
                 return text
     return text_of(root, away)

@@ -175,3 +175,8 @@ def test_the_wrapper_decides_pages_with_an_article(spark):
 def test_all_varying_text_stays():
     long = "story " * 30
     assert wrappers.extract(f"<body><div class=lead>Headline and lead</div><div class=story>{long}</div><p>The end</p></body>") == f"Headline and lead {long}The end"
+
+
+def test_all_articles_of_a_page_stay():
+    parts = "<body><article><p>Part one, longest</p></article><article class=related-posts>Teaser</article><div><article>Part two</article></div></body>"
+    assert wrappers.extract(parts) == "Part one, longest Part two"
