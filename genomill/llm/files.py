@@ -95,18 +95,20 @@ class Table:
             self.open[part] = read(f"{self.uri}/{part:06d}.bin")
         return self.open[part]
 
-    def find(self, keys: np.ndarray, columns: int) -> list[np.ndarray]:
-        """The columns of each of the sorted keys; 0 where it is absent."""
-        cuts = np.searchsorted(part_of(keys, self.parts), np.arange(self.parts + 1))
+    def find(self, keys: np.ndarray, columns: int, place: np.ndarray | None = None) -> list[np.ndarray]:
+        """The columns of each of the sorted keys; 0 where it is absent. ``place``: hashes that parts go by, if not the keys."""
+        parts = part_of(keys if place is None else place, self.parts)
+        order = np.argsort(parts, kind="stable")
+        cuts = np.searchsorted(parts[order], np.arange(self.parts + 1))
         out = [np.zeros(len(keys), dtype=np.int64) for _ in range(columns)]
         for p in np.flatnonzero(np.diff(cuts)).tolist():
             if p not in self.filled:
                 continue
-            b, e = cuts[p], cuts[p + 1]
+            mine = order[cuts[p] : cuts[p + 1]]
             hashes, *values = self.rows(p)
-            at = np.searchsorted(hashes, keys[b:e])
+            at = np.searchsorted(hashes, keys[mine])
             at[at == len(hashes)] = 0
-            hit = hashes[at] == keys[b:e]
+            hit = hashes[at] == keys[mine]
             for o, v in zip(out, values, strict=True):
-                o[b:e] = np.where(hit, v[at], 0)
+                o[mine] = np.where(hit, v[at], 0)
         return out

@@ -1,9 +1,9 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped for scoring.
 
 Tokens are words in lower case and one end after each text; each text is preceded by ``order - 1``
-begins. Tasks count the n-grams of their texts, ranges of n-gram hashes are merged, and each range
-becomes a sorted array of hashes with counts in the shared folder. From distinct n-grams follow the
-continuation counts of the next lower order, and so on down to single tokens; sums by context
+begins. Tasks count the n-grams of their texts, ranges of hashes of the last two tokens are merged, and each
+range becomes a sorted array of n-gram hashes with counts in the shared folder. From distinct n-grams follow
+the continuation counts of the next lower order, in the same range down to two tokens; sums by context
 (total, n-grams seen once, twice, more often) become sorted arrays likewise. Nothing is pruned.
 What reaches the driver are counts of counts. Words and n-grams are known by 64-bit hashes.
 
@@ -13,6 +13,7 @@ What reaches the driver are counts of counts. Words and n-grams are known by 64-
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,6 +60,31 @@ def grams(flat: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def _squeezed(ascending: np.ndarray, *others: np.ndarray) -> bytes:
+    """Arrays as compressed bytes, the first by its differences; the bytes of equal worth of an array lie together."""
+    arrays = [np.diff(ascending, prepend=ascending.dtype.type(0)), *others]
+    arrays = [a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0)) for a in arrays]
+    planes = b"".join(a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
+    head = b"".join(struct.pack("<BQ", a.itemsize, len(a)) for a in arrays)
+    return struct.pack("<BQ", len(arrays), len(planes)) + head + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _loosened(data: bytes) -> list[np.ndarray]:
+    k, size = struct.unpack_from("<BQ", data)
+    planes, at, out = pa.decompress(data[9 + 9 * k :], decompressed_size=size, codec="zstd", asbytes=True), 0, []
+    for i in range(k):
+        width, n = struct.unpack_from("<BQ", data, 9 + 9 * i)
+        a = np.frombuffer(planes, np.uint8, width * n, at).reshape(width, n).T
+        out.append(np.ascontiguousarray(a).view(f"<u{width}").reshape(n))
+        at += width * n
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
+
+
+def _place(columns: list[np.ndarray]) -> np.ndarray:
+    """What says in which part an n-gram lies: the hash of its last two tokens."""
+    return chain(columns[-2:])
+
+
 def _distinct(columns: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Rows by hash: sorted hashes, the columns of each, and the sums of each."""
     h = chain(columns)
@@ -70,19 +96,20 @@ def _distinct(columns: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.nda
 
 
 def _shipped(kind: str, columns: list[np.ndarray], sums: list[np.ndarray], parts: int) -> list[tuple[str, int, bytes]]:
-    """Distinct rows by part of their hash. Within a part each word's hash is written once."""
-    h, columns, sums = _distinct(columns, sums)
-    cuts = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
+    """Distinct rows by part. Within a part each word's hash is written once, and rows are in order of their words."""
+    _, columns, sums = _distinct(columns, sums)
+    part = part_of(_place(columns), parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
     out = []
     for p in np.flatnonzero(np.diff(cuts)).tolist():
-        b, e = cuts[p], cuts[p + 1]
-        some = [c[b:e] for c in columns]
-        if len(some) == 1:
-            arrays = some
-        else:
-            names, where = np.unique(np.concatenate(some), return_inverse=True)
-            arrays = [names, *np.split(where.astype(np.int64), len(some))]
-        out.append((kind, p, pack(*arrays, *[s[b:e].astype(np.int64) for s in sums])))
+        rows = order[cuts[p] : cuts[p + 1]]
+        names, where = np.unique(np.concatenate([c[rows] for c in columns]), return_inverse=True)
+        places = np.split(where.astype(np.int64), len(columns))
+        by = np.lexsort(places[::-1])
+        places = [x[by] for x in places]
+        arrays = [np.diff(places[0], prepend=0), *places[1:], *[s[rows][by].astype(np.int64) for s in sums]]
+        out.append((kind, p, _squeezed(names, *arrays)))
     return out
 
 
@@ -90,13 +117,9 @@ def _received(data: list[bytes], width: int) -> tuple[list[np.ndarray], list[np.
     """Columns and sums of the rows of several messages of a part."""
     columns, sums = [], []
     for d in data:
-        arrays = unpack(d)
-        if width == 1:
-            columns.append(arrays[:1])
-            sums.append(arrays[1:])
-        else:
-            columns.append([arrays[0][w] for w in arrays[1 : 1 + width]])
-            sums.append(arrays[1 + width :])
+        names, first, *arrays = _loosened(d)
+        columns.append([names[w] for w in (np.cumsum(first, dtype=np.int64), *arrays[: width - 1])])
+        sums.append(arrays[width - 1 :])
     cols = [np.concatenate(c) for c in zip(*columns, strict=True)]
     return cols, [np.concatenate([x.astype(np.int64) for x in s]) for s in zip(*sums, strict=True)]
 
@@ -124,35 +147,43 @@ def _counted(batches, order: int, parts: int, modulus: int, held_out: int):
         yield flush()
 
 
-def _merged(batches, order: int, top: int, parts: int, uri: str):
-    """Merges the n-grams of ``order`` and the context sums of order + 1 of this task's parts, and writes their arrays.
+def _merged(batches, top: int, parts: int, uri: str):
+    """Merges what came for this task's parts and writes their arrays; a part at a time.
 
-    Yields what the next lower order needs, counts of counts, and which files there are; a part at a time.
+    n-grams of order ``top`` give those of all lower orders down to two tokens here, as all n-grams of the
+    same last two tokens are in one part. Yields single tokens, context sums, counts of counts, and which files there are.
     """
     got: dict[tuple[str, int], list[bytes]] = {}
     for batch in batches:
         for kind, part, data in zip(batch.column("kind").to_pylist(), batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            if kind in (f"n{order}", f"c{order + 1}") or (kind == "w" and order == top - 1):
-                got.setdefault((kind, part), []).append(data)
-            else:
+            if part < 0:
                 yield _rows([(kind, part, data)])
+            else:
+                got.setdefault((kind, part), []).append(data)
     for kind, part in sorted(got):
         data = got.pop((kind, part))
         if kind[0] == "n":
-            columns, sums = _received(data, order)
-            h, columns, (count,) = _distinct(columns, sums)
-            write(f"{uri}/{kind}/{part:06d}.bin", [h, _small(count)])
-            seen = np.bincount(np.minimum(count, 5), minlength=6)[1:5]
-            yield _rows([(kind, -1 - part, pack(np.array([*seen, count.sum(), len(h)], dtype=np.int64)))])
-            if order == top:
-                yield _rows(_by_part("w", columns[-1], [count], parts))
-            if order > 1:
+            k = int(kind[1:])
+            columns, sums = _received(data, k)
+            while True:
+                h, columns, (count,) = _distinct(columns, sums)
+                write(f"{uri}/n{k}/{part:06d}.bin", [h, _small(count)])
+                seen = np.bincount(np.minimum(count, 5), minlength=6)[1:5]
+                yield _rows([(f"n{k}", -1 - part, pack(np.array([*seen, count.sum(), len(h)], dtype=np.int64)))])
+                if k == top:
+                    yield _rows(_by_part("w", columns[-1], [count], parts))
+                if k == 1:
+                    break
                 once, twice = (count == 1).astype(np.int64), (count == 2).astype(np.int64)
-                yield _rows(_by_part(f"c{order}", chain(columns[:-1]), [count, once, twice, 1 - once - twice], parts))
-                yield _rows(_shipped(f"n{order - 1}", columns[1:], [np.ones(len(h), dtype=np.int64)], parts))
+                yield _rows(_by_part(f"c{k}", chain(columns[:-1]), [count, once, twice, 1 - once - twice], parts))
+                k, columns, sums = k - 1, columns[1:], [np.ones(len(h), dtype=np.int64)]
+                if k == 1:
+                    yield _rows(_shipped("n1", columns, sums, parts))
+                    break
         else:
-            (h,), sums = _received(data, 1)
-            h, sums = _keyed(h, sums)
+            several = [_loosened(d) for d in data]
+            h, *sums = (np.concatenate(x) for x in zip(*several, strict=True))
+            h, sums = _keyed(h, [s.astype(np.int64) for s in sums])
             write(f"{uri}/{kind}/{part:06d}.bin", [h, *[_small(s) for s in sums]])
             yield _rows([(kind, -1 - part, pack(np.array([len(h), sums[0].sum()], dtype=np.int64)))])
 
@@ -160,7 +191,7 @@ def _merged(batches, order: int, top: int, parts: int, uri: str):
 def _by_part(kind: str, h: np.ndarray, sums: list[np.ndarray], parts: int) -> list[tuple[str, int, bytes]]:
     h, sums = _keyed(h, sums)
     cuts = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
-    return [(kind, p, pack(h[cuts[p] : cuts[p + 1]], *[s[cuts[p] : cuts[p + 1]] for s in sums])) for p in np.flatnonzero(np.diff(cuts)).tolist()]
+    return [(kind, p, _squeezed(h[cuts[p] : cuts[p + 1]], *[s[cuts[p] : cuts[p + 1]] for s in sums])) for p in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
 def _keyed(h: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -216,8 +247,8 @@ def train(docs: DataFrame, order: int = 2, modulus: int = 7, held_out: int = 2)
     parts = max(1, -(-size // TEXT_PER_PART))
     uri = shared.place(spark, "kneser-ney")
     rows = docs.select("doc_id", "text").mapInArrow(lambda b: _counted(b, order, parts, modulus, held_out), ROWS)
-    for k in range(order, -1 if order == 1 else 0, -1):
-        rows = rows.repartition(parts, "kind", "part").mapInArrow(lambda b, k=k: _merged(b, k, order, parts, uri), ROWS)
+    for _ in range(2):  # n-grams, then what follows from them
+        rows = rows.repartition(parts, "kind", "part").mapInArrow(lambda b: _merged(b, order, parts, uri), ROWS)
     stats: dict[str, np.ndarray] = {}
     files: dict[str, set[int]] = {}
     for kind, part, data in rows.where("part < 0").collect():  # a few numbers of each part
@@ -247,7 +278,7 @@ class Scorer:
         p = np.full(len(columns[0]), 1.0 / (model.n_types + 1))
         for k in range(1, model.order + 1):
             d = discounts(model.seen[k][:4])
-            (count,) = _looked_up(self.grams[k], chain(columns[-k:]), 1)
+            (count,) = _looked_up(self.grams[k], chain(columns[-k:]), 1, _place(columns[-k:]))
             if k == 1:
                 n1, n2 = model.seen[1][:2]
                 total, n1, n2, n3 = (np.full(len(p), x) for x in (model.seen[1][4], n1, n2, model.seen[1][5] - n1 - n2))
@@ -259,9 +290,9 @@ class Scorer:
         return np.log10(p)
 
 
-def _looked_up(table: Table, keys: np.ndarray, columns: int) -> list[np.ndarray]:
-    distinct, where = np.unique(keys, return_inverse=True)
-    return [v[where] for v in table.find(distinct, columns)]
+def _looked_up(table: Table, keys: np.ndarray, columns: int, place: np.ndarray | None = None) -> list[np.ndarray]:
+    distinct, at, where = np.unique(keys, return_index=True, return_inverse=True)
+    return [v[where] for v in table.find(distinct, columns, None if place is None else place[at])]
 
 
 def score(docs: DataFrame, model: Model, modulus: int = 7, held_out: int = 2) -> DataFrame:

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return kneser_ney.score(docs, kneser_ney.train(docs))
+    return kneser_ney.score(docs, kneser_ney.train(docs, order=3))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,13 @@ def test_empty_table_and_null_ids(spark):
     assert len(rows) == 4 and all(r.score < 0 for r in rows)
     untrained = kneser_ney.score(odd, model).collect()
     assert all(r.score == r.base_score == 0 and r.train_tokens == 0 for r in untrained)
+
+
+def test_the_query_has_trigrams(spark, tmp_path):
+    from genomill.llm import queries
+
+    rows = list(enumerate(TEXTS))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op1_lm_scoring(spark, str(tmp_path)).collect()}
+    want = plain(rows, 3)[0]
+    assert {i: got[i] for i in want} == pytest.approx({i: want[i][5] for i in want})
