@@ -1,16 +1,21 @@
 """License scans by canonical digests, in DataFrame functions only.
 
-A text is reduced to a canonical form: lower case, without copyright lines, one spelling of words
+A text is reduced to a canonical form: lower case, without copyright notices, one spelling of words
 that licences spell in several ways, and one space for whatever is no letter or digit. Whole texts
 are hash-joined with the digests of known licences; the lines of a text are looked up likewise.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n(©]*(copyright\b|\(c\)|©)[^\n]*$"
+# A line is a copyright notice if it has a year, (c) or a holder: lines of licence bodies may begin with the word as well.
+NO_HOLDER = "and|applicable|are|as|at|claims?|disclaimer|does|for|from|has|have|holders?|if|in|information|infringement|interests?|is|laws?|licen[cs]es?|licensed|may|must|not|notices?|of|on|or|owners?|ownership|permissions?|protection|provisions|rights?|shall|statements?|status|that|to|treaty|treaties|was|which|will|with|work|the software|the program|the library|the work|this software"
+NOTICE_LINE = rf"(?m)^[^\p{{L}}\p{{N}}\n(©]*(?:©[^\n]*|\(c\)[^\n]*\b(?:19|20)\d\d\b[^\n]*|copyright\b(?:[^\n]*(?:\b(?:19|20)\d\d\b|\(c\)|©)[^\n]*|[^\p{{L}}\p{{N}}\n]+(?!(?:{NO_HOLDER})\b)[\p{{L}}\p{{N}}][^\n]*|[^\p{{L}}\p{{N}}\n]*))$"
 RESERVED = r"\ball rights reserved\b"
 OTHER = r"[^\p{L}\p{N}]+"
 #: Known licences are a list on the driver, and so bounded; more than this is refused.
@@ -80,16 +85,71 @@ CALLED = {
 SAID = ["{}", "Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}", "This work is licensed under {}", "This work is licensed under the {}", "This project is licensed under the {}", "This software is licensed under the {}", "Distributed under the {}"]
 
 
+# Titles of licence files, and more names in one-line statements.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "MIT", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC", "Internet Systems Consortium license"],
+    "0BSD": ["BSD Zero Clause License", "BSD Zero Clause License (0BSD)", "Zero-Clause BSD", "Zero-Clause BSD License", "The Zero-Clause BSD License", "0BSD License", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The 2-Clause BSD License", "The BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "The Simplified BSD License", "FreeBSD License", "The FreeBSD License", "BSD License", "The BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The 3-Clause BSD License", "The BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "The New BSD License", "Modified BSD License", "Revised BSD License", "BSD License", "The BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng License", "zlib"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License - Version 1.0", "Boost Software License, Version 1.0", "Boost Software License 1.0", "Boost Software License 1.0 (BSL-1.0)"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
+}
+ALSO_CALLED = {
+    "MIT": ["MIT License (MIT)"],
+    "ISC": ["ISC License"],
+    "0BSD": ["BSD Zero Clause License", "0BSD License"],
+    "Zlib": ["zlib License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License - Version 1.0 - August 17th, 2003"],
+}
+#: Whole licences, as files. What follows these lines may be absent: it tells how to apply the terms.
+FULL = os.path.join(os.path.dirname(__file__), "license_texts")
+TERMS_END = {"Apache-2.0": "END OF TERMS AND CONDITIONS", "GPL-2.0": "END OF TERMS AND CONDITIONS", "GPL-3.0": "END OF TERMS AND CONDITIONS", "LGPL-2.1": "END OF TERMS AND CONDITIONS"}
+
+
 def known() -> list[tuple[str, str]]:
     """(licence, text) of all texts and statements that this module knows."""
     out = [(k, t) for k, texts in TEXTS.items() for t in texts]
     return out + [(k, said.format(name)) for k, names in CALLED.items() for name in names for said in SAID]
 
 
+def titled() -> list[tuple[str, str]]:
+    """(licence, text) of licence files: with the usual titles, items without numbers or with letters, and whole licences."""
+    out = []
+    for k, titles in TITLES.items():
+        texts = list(TEXTS.get(k, []))
+        if k == "Unlicense":
+            texts.append(_full(k))
+        # BSD and zlib items are also marked by signs, which no canonical form has, or by letters
+        texts += [t for text in texts if "1. " in text for t in (_marked(text, ("", "", "")), _marked(text, ("a) ", "b) ", "c) ")))]
+        out += [(k, text) for text in texts] + [(k, f"{title}\n\n{text}") for title in titles for text in texts]
+    for name in sorted(os.listdir(FULL)):
+        k, text = name.removesuffix(".txt"), _full(name.removesuffix(".txt"))
+        out.append((k, text))
+        if k in TERMS_END:
+            end = text.index(TERMS_END[k])
+            out += [(k, text[:end]), (k, text[: end + len(TERMS_END[k])])]
+    wtfpl = "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nEveryone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.\n\n"
+    out.append(("WTFPL", wtfpl + TEXTS["WTFPL"][0]))
+    return out + [(k, said.format(name)) for k, names in ALSO_CALLED.items() for name in names for said in SAID] + [(k, t) for k, titles in TITLES.items() for t in titles if k in ("ISC", "0BSD", "Zlib", "BSL-1.0")]
+
+
+def _full(license_id: str) -> str:
+    with open(os.path.join(FULL, f"{license_id}.txt"), encoding="utf-8") as file:
+        return file.read().replace("\f", "\n")
+
+
+def _marked(text: str, marks: tuple[str, ...]) -> str:
+    for number, mark in zip(("1. ", "2. ", "3. "), marks, strict=True):
+        text = text.replace(f" {number}", f" {mark}")
+    return text
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; that of null is empty."""
     text = F.lower(F.coalesce(text, F.lit("")))
-    text = F.regexp_replace(F.regexp_replace(text, COPYRIGHT_LINE, " "), RESERVED, " ")
+    text = F.regexp_replace(F.regexp_replace(text, NOTICE_LINE, " "), RESERVED, " ")
     text = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, OTHER, " ")), F.lit(" "))
     same = text
     for other, one in SPELLINGS.items():
@@ -111,7 +171,7 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None) -> DataFra
     give repeated rows, an empty table an empty one; a null doc_id stays null.
     """
     spark = docs.sparkSession
-    texts = known() if texts is None else texts
+    texts = known() + titled() if texts is None else texts
     if len(texts) > MOST_KNOWN:
         raise ValueError(f"at most {MOST_KNOWN} known texts")
     table = spark.createDataFrame(texts, "license_id string, known string").select("license_id", digest(F.col("known")).alias("canonical_sha256"), canonical(F.col("known")).alias("form"))
@@ -138,6 +198,7 @@ def _sql(text: str) -> str:
 
 
 def oracle() -> str:
+    """SQL of known() and of all lines that begin with copyright; it has neither titled() nor bodies with such lines."""
     rows = ", ".join("('" + k + "', '" + t.replace("'", "''") + "')" for k, t in known())
     return f"""
 with k as (select sha256(form) as h, min(id) as id from (select id, {_sql("t")} as form from (values {rows}) as v(id, t)) where form <> '' group by 1),

@@ -180,3 +180,17 @@ def test_all_varying_text_stays():
 def test_all_articles_of_a_page_stay():
     parts = "<body><article><p>Part one, longest</p></article><article class=related-posts>Teaser</article><div><article>Part two</article></div></body>"
     assert wrappers.extract(parts) == "Part one, longest Part two"
+
+
+def test_licence_files(spark):
+    isc = licenses.TEXTS["ISC"][0].replace("above copyright notice", "above\ncopyright notice")
+    star = licenses.TEXTS["BSD-3-Clause"][0].replace(" 1. ", "\n* ").replace(" 2. ", "\n* ").replace(" 3. ", "\n* ")
+    with open(f"{licenses.FULL}/Apache-2.0.txt") as file:
+        apache = file.read()
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + licenses.TEXTS["MIT"][0]), (2, "ISC License\n\nCopyright Jane Doe\n\n" + isc), (3, isc), (4, "Copyright 2001, A\n" + star), (5, apache), (6, apache.replace("\n", "\n\n").upper()),
+        (7, "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + licenses.TEXTS["BSL-1.0"][0]), (8, "copyright notice that is text"), (9, "Copyright Jane Doe"),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].license_id for i in range(1, 10)] == ["MIT", "ISC", "ISC", "BSD-3-Clause", "Apache-2.0", "Apache-2.0", "BSL-1.0", None, None]
+    assert got[2].notices == "ISC" and "BSL-1.0" in got[7].notices and got[8].canonical_sha256 != got[9].canonical_sha256
