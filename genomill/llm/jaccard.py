@@ -435,9 +435,14 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their component, with all their columns.
 
     Rows with a null doc_id or without words stay; of rows that repeat a kept document one stays.
+    A doc_id that different texts share says nothing of either: one row of each of its texts stays.
     """
-    kept = near_duplicates(docs, **options).where("component_id = doc_id").select("doc_id").distinct()
+    kept = near_duplicates(docs, **options).where("component_id = doc_id").select("doc_id")
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    clashing = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("doc_id")
+    kept = kept.unionByName(clashing).distinct()
     rows = docs.select(F.struct("*").alias("row"))
     known = rows.join(kept, F.col("row.doc_id") == kept["doc_id"], "left_semi")
-    known = known.withColumn("nth", F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))).where("nth = 1").drop("nth")
+    own = F.sha2(F.coalesce("row.text", F.lit("")), 256)
+    known = known.withColumn("nth", F.row_number().over(Window.partitionBy("row.doc_id", own).orderBy("row.text"))).where("nth = 1").drop("nth")
     return known.unionByName(rows.where("row.doc_id is null")).select("row.*")

@@ -126,3 +126,10 @@ def test_components(spark):
                 todo.append(y)
         assert got[node] == min(seen)
     assert set(got) == set(near) and Counter(got.values())[100] == 31
+
+
+def test_texts_that_share_an_id_stay(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(5, one), (5, two), (5, two), (3, one), (7, two)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text[:1]) for r in jaccard.one_of_each(docs).collect())
+    assert (3, "a") in got and got.count((5, "b")) == 1 and (7, "b") not in got
