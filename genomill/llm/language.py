@@ -260,7 +260,7 @@ def identify(docs: DataFrame, model: Model, modulus: int = 5, switch: float = SW
 def with_language(docs: DataFrame, modulus: int = 5) -> DataFrame:
     """The rows of ``docs`` that have a language, with all their columns; those of ``und`` go.
 
-    The model learns from ``docs`` itself as in ``train``; without anything to learn from no row has a language.
+    The model learns from ``docs`` itself as in ``train``; without anything to learn from only null texts and those without a letter go.
     """
     spark = docs.sparkSession
     shared.ship(spark)
@@ -270,7 +270,10 @@ def with_language(docs: DataFrame, modulus: int = 5) -> DataFrame:
         for batch in batches:
             for first in range(0, len(batch), 4096):
                 some = batch.slice(first, 4096)
-                keep = [lang != UNKNOWN for lang, _, _ in identify_texts(sent.value, some.column("text"))]
+                if sent.value.langs:
+                    keep = [lang != UNKNOWN for lang, _, _ in identify_texts(sent.value, some.column("text"))]
+                else:
+                    keep = [has_letter(t) for t in some.column("text").to_pylist()]
                 if any(keep):
                     yield some.filter(pa.array(keep))
 

@@ -110,3 +110,8 @@ def test_flight_keeps_totals():
     assert ((out > 0) & (out < 1)).sum() <= 2 and out.sum() == pytest.approx(p.sum()) and out @ z == pytest.approx(p @ z)
     end = mixing.landing(out, z)
     assert set(end) <= {0.0, 1.0}
+
+
+def test_texts_stay_where_no_language_is_known(spark):
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(["some words", None, "", "12 34", "mehr Text"])], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language.with_language(docs).collect()) == [0, 4]
