@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from .functions import genotype as g
 from .operators import histograms, merge, populations, samples, variant_stats, windows
 from .operators.table import Variations
 from .sources import matrix_text, vcf
@@ -18,6 +19,9 @@ def report(v: Variations, out: str, window: int) -> None:
         "density": windows.calc_snp_density(v, window), "samples": samples.stats_table(v), "gt_types": samples.calc_gt_type_stats(v), "hwe": variant_stats.calc_hwe_chi2_test(v), "diversity": windows.diversity_windows(v, window),
         "inbreeding": histograms.histogram_for_stat(v, variant_stats.calc_inbreeding_coef), "called_by_depth": histograms.called_by_depth(v, [5, 10, 20]), "depth_by_type": samples.depth_histograms_by_sample(v), "maf_depth": histograms.maf_depth_histograms(v),
         "allele_observations": histograms.hist2d_allele_observations(v), "r2": windows.calc_r2_windows(v, window),
+        "maf_by_depth": histograms.histogram_for_stat(v, variant_stats.calc_allele_observation_based_maf), "gq_observations": histograms.hist2d_gq_allele_observations(v),
+        "gq_of_hom": histograms.field_histogram(v, "gq", mask=g.is_hom), "gq_of_het": histograms.field_histogram(v, "gq", mask=g.is_het),
+        "het_allele_freq": histograms.hist2d_het_allele_freq(v),
     }
     if v.populations:
         tables["populations"] = populations.pop_stats_report(v)
@@ -44,6 +48,7 @@ def main(argv: list[str] | None = None) -> None:
     one.add_argument("store2")
     one.add_argument("out")
     one.add_argument("--ignore-complex", action="store_true")
+    one.add_argument("--any-reference", action="store_true", help="don't compare the references of both")
     one = commands.add_parser("report", help="quality report of a store")
     one.add_argument("store")
     one.add_argument("out")
@@ -56,7 +61,7 @@ def main(argv: list[str] | None = None) -> None:
         info = spark.read.csv(a.var_info, header=True, schema="id string, chrom string, pos int")
         matrix_text.read_matrix(spark, a.matrix, info, matrix_text.SPLITTERS[a.coding], sep=a.sep).write(a.store)
     elif a.command == "merge":
-        merge.merge(Variations.read(spark, a.store1), Variations.read(spark, a.store2), ignore_complex_overlaps=a.ignore_complex).write(a.out)
+        merge.merge(Variations.read(spark, a.store1), Variations.read(spark, a.store2), ignore_complex_overlaps=a.ignore_complex, check_ref_matches=not a.any_reference).write(a.out)
     else:
         report(Variations.read(spark, a.store), a.out, a.window)
 

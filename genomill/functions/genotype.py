@@ -18,7 +18,7 @@ def pick(calls: Column, indexes: list[int] | None) -> Column:
     """The calls of some samples, in the given order; all of them for None."""
     if indexes is None:
         return calls
-    return F.transform(F.array(*[F.lit(i) for i in indexes]), lambda i: F.get(calls, i))
+    return bound({"c": calls}, lambda s: F.transform(F.array(*[F.lit(i) for i in indexes]), lambda i: F.get(s["c"], i)))
 
 
 def is_missing(gt: Column) -> Column:
@@ -186,4 +186,5 @@ def times(calls: Column, allele: int) -> Column:
 def genotype_counts(calls: Column) -> Column:
     """Array of (gt, n) of unordered genotypes without missing alleles."""
     gts = F.transform(F.filter(calls, lambda c: ~is_missing(c["gt"])), lambda c: F.array_sort(c["gt"]))
-    return F.transform(F.array_sort(F.array_distinct(gts)), lambda g: F.struct(g.alias("gt"), F.size(F.filter(gts, lambda x: x == g)).cast("long").alias("n")))
+    count = lambda all_, gt: F.struct(gt.alias("gt"), F.size(F.filter(all_, lambda x: x == gt)).cast("long").alias("n"))
+    return bound({"gts": gts}, lambda s: F.transform(F.array_sort(F.array_distinct(s["gts"])), lambda gt: count(s["gts"], gt)))

@@ -65,25 +65,29 @@ def _tail(x: Column, freedom: Column) -> Column:
 
 def contingency_column(one: Column, two: Column) -> Column:
     """p of two arrays of (key, n) being of one distribution; corrected for one degree of freedom, 1 for none, null if a side is empty."""
-    return bound({"one": one, "two": two}, lambda s: _contingency(s["one"], s["two"]))
+    total = lambda side: F.aggregate(side, F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
+    keys = lambda side: F.transform(side, lambda c: c["gt"])
+    sides = lambda s: {"one": s["one"], "two": s["two"], "r1": total(s["one"]), "r2": total(s["two"]), "kinds": F.array_union(keys(s["one"]), keys(s["two"]))}
+    # Each step is bound once: the tail's series would evaluate the statistic again for every term.
+    return bound({"one": one, "two": two}, lambda s: bound(sides(s), lambda t: bound({"x": _statistic(t), "r1": t["r1"], "r2": t["r2"], "freedom": F.size(t["kinds"]) - 1}, _chance)))
 
 
-def _contingency(one: Column, two: Column) -> Column:
-    total = lambda side: F.aggregate(side, F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
-    r1, r2 = total(one), total(two)
-    whole = (r1 + r2).cast("double")
-    kinds = F.array_union(F.transform(one, lambda c: c["gt"]), F.transform(two, lambda c: c["gt"]))
-    freedom = F.size(kinds) - 1
+def _statistic(s) -> Column:
+    whole = (s["r1"] + s["r2"]).cast("double")
     of = lambda side, k: F.aggregate(F.filter(side, lambda c: c["gt"] == k), F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
 
     def part(n, row, col):
         e = row * col / F.when(whole > 0, whole)
         d = F.abs(n - e)
-        d = F.when(freedom == 1, d - F.least(F.lit(0.5), d)).otherwise(d)
+        d = F.when(F.size(s["kinds"]) == 2, d - F.least(F.lit(0.5), d)).otherwise(d)
         return d * d / F.when(e > 0, e)
 
-    x = F.aggregate(kinds, F.lit(0.0), lambda acc, k: acc + part(of(one, k), r1, of(one, k) + of(two, k)) + part(of(two, k), r2, of(one, k) + of(two, k)))
-    return F.when((r1 > 0) & (r2 > 0), F.when(freedom == 0, 1.0).otherwise(chi2_tail_column(x, freedom)))
+    counts = F.transform(s["kinds"], lambda k: F.struct(of(s["one"], k).alias("n"), of(s["two"], k).alias("m")))
+    return F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + part(c["n"], s["r1"], c["n"] + c["m"]) + part(c["m"], s["r2"], c["n"] + c["m"]))
+
+
+def _chance(s) -> Column:
+    return F.when((s["r1"] > 0) & (s["r2"] > 0), F.when(s["freedom"] == 0, 1.0).otherwise(chi2_tail_column(s["x"], s["freedom"])))
 
 
 def poisson_quantile(mean: float, share: float) -> int:

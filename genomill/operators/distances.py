@@ -199,6 +199,13 @@ def filter_dist_matrix(dists: DataFrame, keep: list) -> DataFrame:
     return dists.where(F.col("i").isin(keep) & F.col("j").isin(keep))
 
 
+def select_samples(dists: DataFrame, samples: list[int]) -> DataFrame:
+    """The distances of some samples in the order asked for: i < j are places in ``samples``."""
+    place = F.create_map(*[F.lit(x) for new, old in enumerate(samples) for x in (old, new)])
+    rows = filter_dist_matrix(dists, samples).withColumns({"i": place[F.col("i")], "j": place[F.col("j")]})
+    return rows.withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")})
+
+
 def square(dists: DataFrame) -> DataFrame:
     """Both directions and the diagonal: i, j, dist."""
     pairs = dists.select("i", "j", "dist")

@@ -315,7 +315,7 @@ class VarsSamplingFilter:
         return round(v.num_variations() * self.rate)
 
     def __call__(self, v: Variations) -> Filtered:
-        chosen = v.df.select("row_idx").orderBy(F.rand(self.seed)).limit(self._n(v)).withColumn("_chosen", F.lit(True))
+        chosen = v.df.select("row_idx").orderBy(F.xxhash64("row_idx", F.lit(self.seed)), "row_idx").limit(self._n(v)).withColumn("_chosen", F.lit(True))
         marked = v.df.join(chosen, "row_idx", "left")
         return Filtered(v.having(marked), F.coalesce("_chosen", F.lit(False)), None)
 
@@ -335,9 +335,9 @@ class VarsSamplingFilter2(VarsSamplingFilter):
 
 def filter_variation_density(v: Variations, max_density: int, window: int) -> Variations:
     """Variants with at most so many variants within half a window on either side, themselves included."""
-    from .windows import density
+    from .windows import with_density
 
-    return v.having(v.df.withColumn("_density", density(window)).where(F.col("_density") <= max_density).drop("_density"))
+    return v.having(with_density(v.df, window, "_density").where(F.col("_density") <= max_density).drop("_density"))
 
 
 def filter_samples_by_missing_rate(v: Variations, min_called_rate: float | None = None, max_het: float | None = None, samples: list[str] | None = None) -> Variations:

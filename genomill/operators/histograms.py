@@ -35,17 +35,26 @@ def histogram_of(rows: DataFrame, n_bins: int = BINS, range_: tuple[float, float
     by = by or []
     if range_ is not None and not all(abs(float(e)) != float("inf") for e in range_):
         raise ValueError("the range is not finite")
-    ends = F.broadcast(_bounds(rows, column, range_))  # one row
-    width = (F.col("hi") - F.col("lo")) / n_bins
+    # A statistic is a long expression: generated once, it is not evaluated again for each comparison.
+    keep = [*by, *([weight] if weight and weight != column else [])]
+    rows = rows.select(*keep, F.explode(F.array(F.col(column))).alias(column))
+    lo, hi = _limits(rows, column, range_)
+    width = (F.lit(hi) - F.lit(lo)) / n_bins
     x = F.col(column).cast("double")
-    inside = rows.crossJoin(ends).where(_usable(x) & (x >= F.col("lo")) & (x <= F.col("hi")))
+    inside = rows.where(_usable(x) & (x >= lo) & (x <= hi))
     n = F.sum(weight).cast("double") if weight else F.count(F.lit(1))
-    found = inside.groupBy(*by, _bin(x, F.col("lo"), width, n_bins).alias("bin")).agg(n.alias("n"))
+    found = inside.groupBy(*by, _bin(x, F.lit(lo), width, n_bins).alias("bin")).agg(n.alias("n"))
     bins = rows.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin"))
     if by:
-        bins = rows.select(*by).distinct().crossJoin(F.broadcast(bins))
-    out = bins.crossJoin(ends).join(found, [*by, "bin"], "left")
-    return out.select(*by, "bin", (F.col("lo") + F.col("bin") * width).alias("lo"), (F.col("lo") + (F.col("bin") + 1) * width).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
+        bins = rows.select(*by).distinct().crossJoin(F.broadcast(bins))  # n_bins rows
+    out = bins.join(found, [*by, "bin"], "left")
+    edge = lambda k: F.lit(lo) + k * width
+    return out.select(*by, "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _limits(rows: DataFrame, column: str, range_: tuple[float, float] | None) -> tuple[float, float]:
+    """The ends of a histogram: those given, or the least and largest value, looked up once."""
+    return tuple(_bounds(rows, column, range_).first())
 
 
 def histogram_for_stat(v: Variations, stat, n_bins: int = BINS, range_: tuple[float, float] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import BLOCK
 from .table import Variations
 
 
@@ -15,17 +16,24 @@ class MalformedVariationError(ValueError):
 def overlap_groups(*sides: DataFrame) -> DataFrame:
     """The rows of all sides with side (from 1) and group: rows whose [pos, pos + longest allele) overlap share one.
 
-    One window per chromosome over positions: a row begins a group if it starts beyond the end of all before it.
+    A row begins a group if it starts beyond the end of all before it.
     """
     rows = None
     for i, df in enumerate(sides, 1):
         longest = F.greatest(F.length("ref"), F.coalesce(F.array_max(F.transform("alt", lambda a: F.length(a))), F.lit(0)))
         one = df.select(F.lit(i).alias("side"), "chrom", F.col("pos").cast("long").alias("pos"), "ref", "alt", "qual", F.transform("calls", lambda c: c["gt"]).alias("gts"), (F.col("pos") + longest - 1).cast("long").alias("end"))
         rows = one if rows is None else rows.unionByName(one)
-    order = Window.partitionBy("chrom").orderBy("pos", F.col("side").desc())
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new", F.coalesce((F.col("pos") > reach).cast("int"), F.lit(1)))
-    return rows.withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    # Blocks of positions go through by themselves: what reaches into a block from those before it, and how many groups
+    # begin before it, are a row for each block.
+    rows = rows.withColumn("_block", F.floor(F.col("pos") / BLOCK))
+    order = Window.partitionBy("chrom", "_block").orderBy("pos", F.col("side").desc())
+    past = Window.partitionBy("chrom").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    reaches = rows.groupBy("chrom", "_block").agg(F.max("end").alias("_end")).select("chrom", "_block", F.max("_end").over(past).alias("_reach"))
+    reach = F.greatest(F.col("_reach"), F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.join(F.broadcast(reaches), ["chrom", "_block"]).withColumn("new", F.coalesce((F.col("pos") > reach).cast("int"), F.lit(1)))
+    begun = rows.groupBy("chrom", "_block").agg(F.sum("new").alias("_n")).select("chrom", "_block", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before"))
+    number = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    return rows.join(F.broadcast(begun), ["chrom", "_block"]).withColumn("group", number).drop("new", "_block", "_reach", "_before")
 
 
 def group_counts(one: DataFrame, two: DataFrame) -> DataFrame:

@@ -8,43 +8,58 @@ from pyspark.sql import functions as F
 from .table import CHUNK, Variations
 
 
+#: Positions of a chromosome that are sorted by one task.
+BLOCK = 1_000_000
+
+
+def _blocks(df: DataFrame) -> DataFrame:
+    return df.withColumn("_block", F.floor(F.coalesce(F.col("pos"), F.lit(-1)) / BLOCK))
+
+
 def sort_variations(v: Variations) -> Variations:
-    """By chromosome (byte order), position and former place; row_idx is the new place."""
-    ranked = F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "row_idx"))
-    sizes = v.df.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("chrom", before.alias("_before"))  # a row per chromosome
-    df = v.df.join(F.broadcast(offsets), "chrom").withColumn("row_idx", (ranked - 1 + F.col("_before")).cast("long")).drop("_before")
-    return v.having(df.select(*v.df.columns))
+    """By chromosome (byte order), position and former place; row_idx is the new place.
+
+    Blocks of positions are ranked each by itself, after as many rows as the blocks before it have: a row for each
+    block of the genome is all that is broadcast.
+    """
+    rows = _blocks(v.df)
+    sizes = rows.groupBy("chrom", "_block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("chrom", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select(F.col("chrom").alias("_chrom"), F.col("_block").alias("_of"), before.alias("_before")))
+    ranked = F.row_number().over(Window.partitionBy("chrom", "_block").orderBy("pos", "row_idx"))
+    df = rows.join(offsets, F.col("chrom").eqNullSafe(F.col("_chrom")) & (F.col("_block") == F.col("_of")))
+    return v.having(df.withColumn("row_idx", (ranked - 1 + F.col("_before")).cast("long")).select(*v.df.columns))
 
 
-def _key() -> Column:
-    return F.struct(F.col("chrom").alias("c"), F.col("pos").cast("long").alias("p"))
+def _upto(chrom: str, pos: int, inclusive: bool) -> Column:
+    """Rows before (chrom, pos), or at it too; simple comparisons, which Parquet's statistics can answer."""
+    p = F.col("pos") <= pos if inclusive else F.col("pos") < pos
+    return (F.col("chrom") < chrom) | ((F.col("chrom") == chrom) & p)
 
 
-def _at(chrom: str, pos: int) -> Column:
-    return F.struct(F.lit(chrom).alias("c"), F.lit(pos).cast("long").alias("p"))
+def _from(chrom: str, pos: int) -> Column:
+    return (F.col("chrom") > chrom) | ((F.col("chrom") == chrom) & (F.col("pos") >= pos))
 
 
 def var_bisect_left(v: Variations, chrom: str, pos: int) -> int:
     """How many rows are before (chrom, pos)."""
-    return v.df.agg(F.count_if(_key() < _at(chrom, pos))).first()[0]
+    return v.df.where(_upto(chrom, pos, False)).count()
 
 
 def var_bisect_right(v: Variations, chrom: str, pos: int) -> int:
-    return v.df.agg(F.count_if(_key() <= _at(chrom, pos))).first()[0]
+    return v.df.where(_upto(chrom, pos, True)).count()
 
 
 def find_le(v: Variations, chrom: str, pos: int) -> int:
     """The last row at or before a place."""
-    got = v.df.where(_key() <= _at(chrom, pos)).agg(F.max("row_idx")).first()[0]
+    got = v.df.where(_upto(chrom, pos, True)).agg(F.max("row_idx")).first()[0]
     if got is None:
         raise ValueError("no variation there or before")
     return got
 
 
 def find_ge(v: Variations, chrom: str, pos: int) -> int:
-    got = v.df.where(_key() >= _at(chrom, pos)).agg(F.min("row_idx")).first()[0]
+    got = v.df.where(_from(chrom, pos)).agg(F.min("row_idx")).first()[0]
     if got is None:
         raise ValueError("no variation there or after")
     return got
@@ -103,6 +118,17 @@ def find_first(v: Variations, condition: Column, start: int = 0) -> int | None:
     return got
 
 
+def find_first_in(tables: list[Variations], conditions: list[Column]) -> int | None:
+    """The first row that fulfils the conditions of all tables, row by row; the tables have the same rows."""
+    rows = tables[0].df.where(conditions[0]).select("row_idx")
+    for v, condition in zip(tables[1:], conditions[1:], strict=True):
+        rows = rows.join(v.df.where(condition).select("row_idx"), "row_idx", "left_semi")
+    got = rows.agg(F.min("row_idx")).first()[0]
+    if got is None:
+        raise ValueError("no row fulfils the conditions")
+    return got
+
+
 def find_last(v: Variations, condition: Column) -> int:
     got = v.df.where(condition).agg(F.max("row_idx")).first()[0]
     if got is None:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .histograms import boxplot_of, histogram_of, percentiles_of
+from .samples import calc_stats_by_sample, depth_histograms_by_sample
+from .table import Variations
+from .variant_stats import calc_missing_gt
 
 boxplot_from_distribs = boxplot_of
 
@@ -36,11 +39,46 @@ def hist2d_margins(hist: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hist.groupBy("x_bin").agg(F.sum("n").alias("n")), hist.groupBy("y_bin").agg(F.sum("n").alias("n"))
 
 
+#: Ranges of values that are ranked each by itself.
+CUTS = 200
+
+
 def qq(rows: DataFrame, quantile) -> DataFrame:
-    """x in order beside the quantiles of a distribution: ``quantile`` is a column function of a share."""
-    order = Window.orderBy("x")
-    share = (F.row_number().over(order) - 0.5) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    return rows.where("x is not null").select("x", share.alias("share")).withColumn("expected", quantile(F.col("share")))
+    """x in order beside the quantiles of a distribution: ``quantile`` is a column function of a share.
+
+    Values are ranked within ranges between approximate quantiles, after as many as the ranges before them have.
+    """
+    rows = rows.where("x is not null").select(F.col("x").cast("double").alias("x"))
+    cuts = sorted(set(rows.agg(F.percentile_approx("x", [i / CUTS for i in range(1, CUTS)])).first()[0] or []))  # CUTS numbers at most
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col("x")))
+    rows = rows.withColumn("_part", part)
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_part", before.alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("x")) + F.col("_before")
+    rows = rows.join(F.broadcast(sizes), "_part").select("x", ((place - 0.5) / F.col("_all")).alias("share"))
+    return rows.withColumn("expected", quantile(F.col("share")))
+
+
+def boxplots_of_series(hists: dict[str, DataFrame], by: list[str] | None = None) -> DataFrame:
+    """series and what ``boxplot_of`` gives, for several distributions side by side."""
+    out = None
+    for name, hist in hists.items():
+        one = boxplot_of(hist, by).withColumn("series", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def sample_missing_het(v: Variations) -> DataFrame:
+    """sample_idx, sample, missing, obs_het: a point for each sample."""
+    names = v.sample_table().select("sample_idx", "sample").distinct()
+    stats = calc_stats_by_sample(v).select("sample_idx", "obs_het").join(calc_missing_gt(v, axis=0), "sample_idx")
+    return stats.join(F.broadcast(names), "sample_idx").select("sample_idx", "sample", "missing", "obs_het")  # a row for each sample
+
+
+def sample_depths(v: Variations, range_: tuple | None = None, n_bins: int = 20) -> DataFrame:
+    """kind, sample_idx, bin, lo, hi, n: depth histograms of all, called, homozygous and heterozygous genotypes."""
+    return depth_histograms_by_sample(v, range_, n_bins)
 
 
 def manhattan(rows: DataFrame, gap: int = 0) -> DataFrame:

@@ -74,6 +74,11 @@ class Variations:
             return self.having(self.df.select(*kept))
         return self.having(self.df.drop(*(ignored or ())))
 
+    def copy(self, kept: list[str] | None = None, ignored: list[str] | None = None) -> Variations:
+        """A table of its own with some of the fields: other names, metadata and populations may be put into it."""
+        out = self.fields(kept, ignored)
+        return replace(out, samples=list(self.samples), populations={p: list(x) for p, x in self.populations.items()}, metadata=dict(self.metadata))
+
     def chunk(self, start: int = 0, stop: int | None = None) -> Variations:
         """Rows by row_idx, the end not included; a scan with the bound pushed down."""
         rows = self.df.where(F.col("row_idx") >= start)
@@ -84,7 +89,7 @@ class Variations:
         rows = self.chunk(start, stop).df.withColumn("chunk", F.floor((F.col("row_idx") - start) / size))
         if sample_rate >= 1:
             return rows
-        chosen = F.row_number().over(Window.partitionBy("chunk").orderBy(F.rand(seed)))
+        chosen = F.row_number().over(Window.partitionBy("chunk").orderBy(F.xxhash64("row_idx", F.lit(seed)), "row_idx"))
         n = F.count(F.lit(1)).over(Window.partitionBy("chunk"))
         return rows.withColumn("_place", chosen).withColumn("_n", n).where(F.col("_place") <= F.round(F.col("_n") * sample_rate)).drop("_place", "_n")
 
@@ -111,7 +116,7 @@ class Variations:
     def only_samples(self, indexes: list[int], reverse: bool = False) -> Variations:
         """Calls of some samples by place, in the table's order, or of all others."""
         chosen = [i for i in range(len(self.samples)) if (i in set(indexes)) != reverse]
-        calls = F.transform(F.array(*[F.lit(i) for i in chosen]), lambda i: F.get(F.col("calls"), i)) if chosen else F.slice("calls", 1, 0)
+        calls = F.filter("calls", lambda c, i: i.isin(chosen)) if chosen else F.slice("calls", 1, 0)
         return self.having(self.df.withColumn("calls", calls), samples=[self.samples[i] for i in chosen])
 
     def only_named(self, samples: list[str], reverse: bool = False) -> Variations:

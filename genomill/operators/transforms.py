@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import genotype as g
-from .table import Variations
+from .table import CHUNK, Variations
 
 
 def _none(gt: Column) -> Column:
@@ -82,11 +82,16 @@ def random_haploid_gts(v: Variations, seed: int = 0) -> DataFrame:
     return v.df.select("row_idx", F.zip_with("calls", chosen, lambda c, h: F.get(c["gt"], h)).alias("hap"))
 
 
-def set_random_missing(v: Variations, rate: float, seed: int = 0) -> Variations:
-    """Each call becomes missing with a probability; the same calls for the same seed."""
-    hit = lambda i: (F.pmod(F.xxhash64("row_idx", i, F.lit(seed)), F.lit(1_000_003)) / 1_000_003) < rate
+def set_random_missing(v: Variations, rate: float, seed: int = 0, chunk_size: int = CHUNK) -> Variations:
+    """round(n * rate) of the n called genotypes of each chunk become missing, drawn by hashes of the seed."""
+    called = v.long().where(~g.is_missing(F.col("gt"))).select("row_idx", "sample_idx", F.floor(F.col("row_idx") / chunk_size).alias("chunk"))
+    place = F.row_number().over(Window.partitionBy("chunk").orderBy(F.xxhash64("row_idx", "sample_idx", F.lit(seed)), "row_idx", "sample_idx"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("chunk"))
+    drawn = called.select("row_idx", "sample_idx", place.alias("place"), n.alias("n")).where(F.col("place") <= F.bround(F.col("n") * rate))
+    drawn = drawn.groupBy("row_idx").agg(F.collect_set("sample_idx").alias("_drawn"))  # as many as there are samples at most
+    hit = lambda i: F.coalesce(F.array_contains("_drawn", i), F.lit(False))
     calls = F.transform("calls", lambda c, i: c.withField("gt", F.when(hit(i), _none(c["gt"])).otherwise(c["gt"])))
-    return v.having(v.df.withColumn("calls", calls))
+    return v.having(v.df.join(drawn, "row_idx", "left").withColumn("calls", calls).select(*v.df.columns))
 
 
 COMPLEMENT = ("ACGTacgt", "TGCAtgca")
@@ -102,9 +107,18 @@ def change_strand(v: Variations, other: DataFrame) -> Variations:
 
 
 def count_compatible_snps(v: Variations, strands: DataFrame, max_snps_check: int | None = None) -> DataFrame:
-    """One row, n: the first variants whose alleles are all among those that (row_idx, alleles) gives for the strand."""
+    """strand, n, checked: how many of the first variants fit each candidate strand, and how many were looked at.
+
+    ``strands`` (row_idx, alleles, like_reference): the alleles that a place has on the reference strand, and for each
+    candidate whether it runs like the reference there. If it does, a variant fits when all its alleles are among
+    them; if it does not, when all are among their complements.
+    """
     rows = v.df.join(strands, "row_idx")
     if max_snps_check is not None:
         rows = rows.orderBy("row_idx").limit(max_snps_check)
-    every = F.concat(F.array("ref"), F.coalesce("alt", F.array().cast("array<string>")))
-    return rows.agg(F.count_if(F.size(F.array_except(every, F.col("alleles"))) == 0).alias("n"))
+    every = F.filter(F.concat(F.array("ref"), F.coalesce("alt", F.array().cast("array<string>"))), lambda a: a != "")
+    fits = lambda alleles: F.size(F.array_except(every, alleles)) == 0
+    same, turned = fits(F.col("alleles")), fits(F.transform("alleles", lambda a: F.translate(a, *COMPLEMENT)))
+    hits = F.transform("like_reference", lambda like: F.when(like, same).otherwise(turned))
+    rows = rows.select(F.posexplode(hits).alias("strand", "hit"))
+    return rows.groupBy("strand").agg(F.count_if("hit").alias("n"), F.count(F.lit(1)).alias("checked"))

@@ -9,14 +9,28 @@ from ..functions import genotype as g
 from .table import Variations
 
 
-def density(window: int) -> Column:
-    """How many variants of the chromosome lie within (window - 1) / 2 on either side, the variant itself included."""
+#: Positions that are counted by one task, unless a window is wider.
+BLOCK = 1_000_000
+
+
+def with_density(df: DataFrame, window: int, name: str = "density") -> DataFrame:
+    """df with the number of variants within (window - 1) / 2 on either side on the chromosome, the variant itself included.
+
+    Blocks of positions are counted by themselves; places near an edge are there a second time for the block beyond it.
+    """
     half = (window - 1) // 2
-    return F.count(F.lit(1)).over(Window.partitionBy("chrom").orderBy(F.col("pos").cast("long")).rangeBetween(-half, half))
+    width = max(BLOCK, 4 * window)
+    pos = F.col("pos").cast("long")
+    block = F.floor(pos / width)
+    edge = F.array_compact(F.array(F.when(pos - block * width < half, block - 1), F.when((block + 1) * width - pos <= half, block + 1)))
+    near = df.select("chrom", "pos", F.explode(edge).alias("_block"), F.lit(False).alias("_own"))
+    rows = df.withColumn("_block", block).withColumn("_own", F.lit(True)).unionByName(near, allowMissingColumns=True)
+    n = F.count(F.lit(1)).over(Window.partitionBy("chrom", "_block").orderBy(pos).rangeBetween(-half, half))
+    return rows.withColumn(name, n).where("_own").drop("_block", "_own")
 
 
 def calc_snp_density(v: Variations, window: int) -> DataFrame:
-    return v.df.select("row_idx", "chrom", "pos", density(window).alias("density"))
+    return with_density(v.df.select("row_idx", "chrom", "pos"), window)
 
 
 def window_explode(df: DataFrame, size: int, step: int | None = None, after_start: bool = False, to_last: bool = True) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.filters import IndelFilter
 from ..operators.table import Variations
@@ -49,6 +49,23 @@ def fix_lengths(alleles: list[str], align: bool, hyphens: bool) -> list[str]:
     return done
 
 
+def one_length(alleles: Column, align: bool = True, hyphens: bool = True) -> Column:
+    """Alleles of one length, null where they can't be aligned; only variants with several lengths go to Python, in Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def fixed(several: pd.Series) -> pd.Series:
+        def one(alleles):
+            try:
+                return None if alleles is None else fix_lengths(list(alleles), align, hyphens)
+            except AlignmentTooDifficultError:
+                return None
+
+        return several.map(one)
+
+    same = F.size(F.array_distinct(F.transform(alleles, lambda a: F.length(a)))) == 1
+    return F.when(same, alleles).otherwise(fixed(F.when(~same, alleles)))
+
+
 def sequences(v: Variations, remove_indels: bool = True, one_per_sample: bool = False, remove_invariant_snps: bool = False, remove_sites_all_N: bool = True, try_to_align_easy_indels: bool = False, put_hyphens_in_indels: bool = True) -> DataFrame:
     """sample_idx, hap, name, sequence. ``one_per_sample``: one sequence for each sample, N where it is heterozygous."""
     if not remove_indels and try_to_align_easy_indels != put_hyphens_in_indels:
@@ -67,15 +84,7 @@ def sequences(v: Variations, remove_indels: bool = True, one_per_sample: bool =
         df = df.where(F.size("haps") > F.size(F.filter(F.flatten("haps"), lambda a: a.isNull())))
     hyphens, align = put_hyphens_in_indels, try_to_align_easy_indels
 
-    @F.udf(T.ArrayType(T.StringType()))
-    def fixed(alleles):
-        try:
-            return fix_lengths(alleles, align, hyphens)
-        except AlignmentTooDifficultError:
-            return None
-
-    one_length = F.size(F.array_distinct(F.transform("alleles", lambda a: F.length(a)))) == 1
-    df = df.withColumn("letters", F.when(one_length, F.col("alleles")).otherwise(fixed("alleles"))).where("letters is not null")
+    df = df.withColumn("letters", one_length(F.col("alleles"), align, hyphens)).where("letters is not null")
     widest = F.array_max(F.transform("letters", lambda a: F.length(a)))
     rows = df.select("row_idx", "letters", widest.alias("w"), F.posexplode("haps").alias("sample_idx", "hap_alleles")).select("row_idx", "letters", "w", "sample_idx", F.posexplode("hap_alleles").alias("hap", "a"))
     letter = F.coalesce(F.get("letters", F.col("a")), F.expr("repeat('N', w)"))

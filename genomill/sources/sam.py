@@ -30,8 +30,11 @@ def aligned_kmers(pos: int, cigar: str, seq: str, k: int) -> list[tuple[int, str
     return out
 
 
-def read_kmers(spark: SparkSession, paths: list[str], k: int, step: int = 1) -> DataFrame:
-    """ref, pos, sample, kmer, n of all files together; a read without a known read group has a null sample."""
+def read_kmers(spark: SparkSession, paths: list[str], k: int, step: int = 1, regions: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """ref, pos, sample, kmer, n of all files together; a read without a known read group has a null sample.
+
+    ``regions``: only places of (ref, start, stop), from 0, the stop not included.
+    """
     text = spark.read.text(paths).withColumn("file", F.input_file_name())
     heads = text.where(F.col("value").startswith("@")).collect()
     groups: dict[tuple[str, str], str] = {}
@@ -58,6 +61,16 @@ def read_kmers(spark: SparkSession, paths: list[str], k: int, step: int = 1) ->
             yield pd.DataFrame([(*key, n) for key, n in count.items()], columns=["ref", "pos", "sample", "kmer", "n"])
 
     kmers = text.where(~F.col("value").startswith("@")).select("value", "file").mapInPandas(run, COUNTS)
+    return counted(kmers, step, regions)
+
+
+def counted(kmers: DataFrame, step: int = 1, regions: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """The sums of what tasks counted, at every ``step``-th place, and of some regions only."""
+    if regions is not None:
+        inside = F.lit(False)
+        for ref, start, stop in regions:
+            inside = inside | ((F.col("ref") == ref) & (F.col("pos") >= start) & (F.col("pos") < stop))
+        kmers = kmers.where(inside)
     return kmers.where(F.col("pos") % step == 0).groupBy("ref", "pos", "sample", "kmer").agg(F.sum("n").alias("n"))
 
 

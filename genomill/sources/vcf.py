@@ -64,8 +64,7 @@ def read_vcf(spark: SparkSession, path: str, kept_fields: list[str] | None = Non
     if kept_fields is not None and ignored_fields is not None:
         raise ValueError("kept and ignored fields exclude each other")
     text = spark.read.text(path)
-    top = [r.value for r in text.where(F.col("value").startswith("#")).collect()]
-    meta, samples = parse_header(top)
+    meta, samples = parse_header(_head(text))
     there = {f"info/{k}" for k in meta["INFO"]} | {f"calls/{k}" for k in meta["FORMAT"]}
     wanted = set(kept_fields if kept_fields is not None else ignored_fields or ())
     if wanted - there:
@@ -100,6 +99,33 @@ def read_vcf(spark: SparkSession, path: str, kept_fields: list[str] | None = Non
     return Variations(_numbered(rows), samples, ploidy, metadata=meta)
 
 
+def _head(text: DataFrame) -> list[str]:
+    """The lines before the first variant: the beginning of the first file is read, no more."""
+    n = 256
+    while True:
+        lines = [r.value for r in text.take(n)]
+        top = [x for x in lines if x.startswith("#")]
+        if len(top) < len(lines) or len(lines) < n:
+            return top
+        n *= 4
+
+
+def chroms_of(spark: SparkSession, path: str) -> list[str]:
+    """The chromosomes of a file, in byte order."""
+    rows = _lines(spark, path).select("chrom").distinct()
+    return sorted(r.chrom for r in rows.collect())
+
+
+def lines_of(spark: SparkSession, path: str, chrom: str) -> DataFrame:
+    """value: the lines of a chromosome's variants, as they are."""
+    return _lines(spark, path).where(F.col("chrom") == chrom).select("value")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0))
+    return rows.select(F.substring_index("value", "\t", 1).alias("chrom"), "value")
+
+
 def _info(pairs: Column, name: str, about: dict) -> Column:
     if about.get("Type") == "Flag":
         return F.map_contains_key(pairs, name)
