@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .bytewise import SPACE, Words, buffers, slices
+from .bytewise import SPACE, Words, bounded, buffers, slices
 
 UNKNOWN = "und"
 GRAM = 4
@@ -29,6 +29,10 @@ SWITCH = 12.0
 #: A language is a candidate in a script that has at least this share of its letters.
 SCRIPT_SHARE = 0.002
 SMOOTH = 0.5
+#: Groups that the counts of a language meet in, and pieces that they are cut into.
+SALTS, PIECES = 256, 16
+#: Bytes of text that are scored together, divided by the number of languages above four.
+AT_ONCE = 1 << 20
 
 # First code points of runs of one script, and the script's number.
 # 0 none, 1 Latin, 2 Greek, 3 Cyrillic, 4 Armenian, 5 Hebrew, 6 Arabic, 7 Devanagari, 8 Bengali, 9 Gurmukhi, 10 Gujarati,
@@ -91,8 +95,8 @@ class Model:
 def train(docs: DataFrame, modulus: int | None = 5) -> Model:
     """Learns from every row of ``docs`` with a lang, but those whose crc32(doc_id as text) mod ``modulus`` is 0.
 
-    Counts of n-grams in a fixed number of buckets per language are summed in tasks and then per
-    language; what reaches the driver is one row per language. A null doc_id counts as empty text.
+    Counts of n-grams in a fixed number of buckets per language are summed in tasks, in salted groups and
+    then per language; what reaches the driver is half a MB per language. A null doc_id counts as empty text.
     """
     shared.ship(docs.sparkSession)
     rows = docs.where("lang is not null")
@@ -108,18 +112,37 @@ def train(docs: DataFrame, modulus: int | None = 5) -> Model:
                 some = batch.column("text").filter(pa.array(langs == lang))
                 total = sums.setdefault(lang, np.zeros(size + N_SCRIPTS, dtype=np.int64))
                 raw, at = buffers(pc.utf8_lower(some))
-                for _, _, part, _ in slices(raw, at):
+                for _, _, part, _ in slices(raw, at, AT_ONCE):
                     total[:size] += np.bincount(features(part)[~SPACE[part]], minlength=size)
                     total[size:] += np.bincount(script_of_bytes(part), minlength=N_SCRIPTS)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["lang", "counts"])
+            whole = pa.array([-1] * len(sums), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), whole, pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["lang", "part", "counts"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, dtype=np.int64) for x in table["counts"].to_pylist())
-        return pa.table({"lang": table["lang"][:1].combine_chunks(), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    kind = "lang string, counts binary"
-    found = rows.select("lang", "text").mapInArrow(count, kind).groupBy("lang").applyInArrow(add, kind).collect()
+    def add(batches):
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            for lang, part, data in zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "counts")), strict=True):
+                if part < 0:
+                    pieces = np.array_split(np.frombuffer(data, dtype=np.int64), PIECES)
+                else:
+                    pieces = {part: np.frombuffer(data, dtype=np.int64)}.values()
+                for i, piece in zip(range(PIECES) if part < 0 else [part], pieces, strict=True):
+                    key = lang, i
+                    sums[key] = sums[key] + piece if key in sums else piece
+        if sums:
+            langs, parts = zip(*sums, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["lang", "part", "counts"])
+
+    kind = "lang string, part int, counts binary"
+    found = rows.select("lang", "text").mapInArrow(bounded(count), kind)
+    # What tasks counted meets in salted groups first, then piece by piece: no task takes a row of every other task.
+    found = found.withColumn("salt", F.spark_partition_id() % SALTS).repartition("lang", "salt").drop("salt").mapInArrow(bounded(add), kind)
+    found = found.repartition("lang", "part").mapInArrow(bounded(add), kind).collect()  # PIECES rows of each language
+    whole: dict[str, list] = {}
+    for lang, _, data in sorted(found, key=lambda r: (r.lang, r.part)):
+        whole.setdefault(lang, []).append(data)
+    found = [(lang, b"".join(data)) for lang, data in whole.items()]
     counts = {lang: np.frombuffer(c, dtype=np.int64) for lang, c in found}
     langs = sorted(counts)
     grams = np.array([counts[x][:size] for x in langs], dtype=np.float64).reshape(-1, size) + SMOOTH
@@ -205,7 +228,7 @@ def identify_texts(model: Model, texts: pa.Array, switch: float = SWITCH, with_s
     if with_spans:  # offsets are those of the text itself, so it must not change length
         lowered = pa.array([None if t is None else "".join(c.lower() if len(c.lower()) == 1 else c for c in t) for t in original], pa.large_string())
     raw, at = buffers(lowered)
-    for first, end, part, offsets in slices(raw, at, 1 << 22):
+    for first, end, part, offsets in slices(raw, at, max(1 << 16, 4 * AT_ONCE // max(len(model.langs), 4))):
         words = Words(part, offsets)
         scores, weight = word_scores(model, part, words)
         label = viterbi(scores, words.bounds, switch)
@@ -245,36 +268,41 @@ def identify(docs: DataFrame, model: Model, modulus: int = 5, switch: float = SW
 
     def run(batches):
         for batch in batches:
-            for first in range(0, len(batch), 4096):
-                some = batch.slice(first, 4096)
+            for first in range(0, len(batch), 1024):
+                some = batch.slice(first, 1024)
                 lang, score, spans = zip(*identify_texts(sent.value, some.column("text"), switch, with_spans), strict=True)
                 arrays = [some.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())] + [pa.array(spans, pa.string())] * with_spans
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang_pred", "score"] + ["spans"] * with_spans)
 
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double" + ", spans string" * with_spans
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == 0
-    out = docs.select("doc_id", "text").mapInArrow(run, kind).withColumn("held_out", held)
+    out = docs.select("doc_id", "text").mapInArrow(bounded(run), kind).withColumn("held_out", held)
     return out.select("doc_id", "held_out", "lang_pred", "score", *["spans"] * with_spans)
 
 
-def with_language(docs: DataFrame, modulus: int = 5) -> DataFrame:
-    """The rows of ``docs`` that have a language, with all their columns; those of ``und`` go.
+def with_language(docs: DataFrame, modulus: int = 5, switch: float = SWITCH) -> DataFrame:
+    """The rows of ``docs`` that have a language, with all their columns; ``lang`` is the predicted one. Those of ``und`` go.
 
-    The model learns from ``docs`` itself as in ``train``; without anything to learn from only null texts and those without a letter go.
+    The model learns from ``docs`` itself as in ``train``. Without anything to learn from only null texts and those
+    without a letter go, and ``lang`` stays null. Repeated rows stay repeated, an empty table stays empty, and columns
+    of any other name, ``score`` and ``lang_pred`` too, pass through.
     """
     spark = docs.sparkSession
     shared.ship(spark)
     sent = spark.sparkContext.broadcast(train(docs, modulus))
+    place = docs.columns.index("lang")
 
     def run(batches):
         for batch in batches:
-            for first in range(0, len(batch), 4096):
-                some = batch.slice(first, 4096)
+            for first in range(0, len(batch), 1024):
+                some = batch.slice(first, 1024)
                 if sent.value.langs:
-                    keep = [lang != UNKNOWN for lang, _, _ in identify_texts(sent.value, some.column("text"))]
+                    lang = [lang for lang, _, _ in identify_texts(sent.value, some.column("text"), switch)]
+                    keep = [x != UNKNOWN for x in lang]
+                    some = some.set_column(place, some.schema.field(place), pa.array(lang, pa.string()).cast(some.schema.field(place).type))
                 else:
                     keep = [has_letter(t) for t in some.column("text").to_pylist()]
                 if any(keep):
                     yield some.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(bounded(run), docs.schema)
