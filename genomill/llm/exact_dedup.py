@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 WHITE = r"[\x20\x09-\x0D]+"
+#: A group of more rows than this part of all is dealt out over salts on its way back to the rows.
+HOT = 1000
 
 
 def normalised(text) -> F.Column:
@@ -55,9 +57,15 @@ def assign(docs: DataFrame, salts: int = 16, digest_bits: int = 256) -> DataFram
     )
     winners = shared.keep(winners, "winners")
 
-    # Rows that repeat one document are counted before the join and dealt out again after it.
+    # Rows that repeat one document are counted before the join and dealt out again after it. Groups of more than
+    # a thousandth of all rows, a thousand at most, are dealt out over salts; each salt has a copy of their winner.
+    total = winners.agg(F.sum("group_size")).first()[0] or 0
+    hot = F.broadcast(winners.where(F.col("group_size") * HOT > total).select("digest").distinct().withColumn("hot", F.lit(True)))
     rows = base.groupBy("doc_id", "digest", "sha").agg(F.count(F.lit(1)).alias("times"))
-    found = rows.join(winners.where("texts = 1").drop("norm"), "digest")
+    rows = rows.join(hot, "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(0).cast("int")).drop("hot")
+    copies = F.when(F.col("group_size") * HOT > total, F.lit(salts)).otherwise(1)
+    one_text = winners.where("texts = 1").drop("norm").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    found = rows.join(one_text, ["digest", "salt"]).drop("salt")
     shared_digests = winners.where("texts > 1")
     if not shared_digests.isEmpty():
         rows = base.groupBy("doc_id", "digest", "sha", "norm").agg(F.count(F.lit(1)).alias("times"))
@@ -73,11 +81,11 @@ def deduplicate(docs: DataFrame, salts: int = 16) -> DataFrame:
 
     Nulls, ties and repeated rows: as in ``assign``; exactly one row of each group of equal texts stays.
     """
-    kept = assign(docs, salts).where("kept").select("doc_id", F.col("text_sha256").alias("sha"))
-    rows = docs.select(F.struct("*").alias("row")).withColumn("own", F.sha2(normalised(F.col("row.text")), 256))
-    rows = rows.join(kept, F.col("row.doc_id").eqNullSafe(kept["doc_id"]) & (F.col("own") == F.col("sha")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("row.doc_id", "own").orderBy("row.text"))
-    return rows.withColumn("nth", nth).where("nth = 1").select("row.*")
+    kept = assign(docs, salts).where("kept").select(F.struct("doc_id").alias("_id"), F.col("text_sha256").alias("_own"))
+    rows = docs.select(F.struct("*").alias("row"), F.struct("doc_id").alias("_id"), F.sha2(normalised(F.col("text")), 256).alias("_own"))
+    rows = rows.join(kept, ["_id", "_own"], "left_semi")  # structs of a null are equal, and the window needs no other shuffle
+    nth = F.row_number().over(Window.partitionBy("_id", "_own").orderBy("row.text"))
+    return rows.withColumn("_nth", nth).where("_nth = 1").select("row.*")
 
 
 ORACLE = r"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import struct
 import tempfile
+import uuid
 
 import numpy as np
 from pyarrow import fs
@@ -42,10 +43,13 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 def write(uri: str, arrays: list[np.ndarray]) -> None:
-    """One file with arrays of equal length, each at a multiple of 8 bytes. A repeated task writes the same file again."""
+    """One file with arrays of equal length, each at a multiple of 8 bytes.
+
+    A repeated or speculative task writes the same bytes under a name of its own; the first to end gives the file its name.
+    """
     store, path = _at(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{path}.{os.getpid()}.part"
+    part = f"{path}.{uuid.uuid4().hex}.part"
     with store.open_output_stream(part) as out:
         out.write(struct.pack("<QQ", len(arrays), len(arrays[0])))
         for a in arrays:
@@ -53,7 +57,12 @@ def write(uri: str, arrays: list[np.ndarray]) -> None:
         for a in arrays:
             data = a.tobytes()
             out.write(data + bytes(-len(data) % 8))
-    store.move(part, path)
+    try:
+        store.move(part, path)
+    except OSError:  # some stores don't replace a file: it is there from another attempt
+        if store.get_file_info(path).type != fs.FileType.File:
+            raise
+        store.delete_file(part)
 
 
 def read(uri: str) -> list[np.ndarray]:

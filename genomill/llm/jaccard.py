@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .bytewise import U, Words, buffers, chain, mix, slices
+from .bytewise import U, Words, bounded, buffers, chain, mix, slices
 from .components import components
 from .files import Table, pack, part_of, unpack, write
 
@@ -157,8 +157,8 @@ def _frequent(docs: DataFrame, width: int) -> tuple[Table, int]:
     parts = max(1, -(-size // TEXT_PER_PART))
     bits = max(36, int(size).bit_length() + 4)
     uri = shared.place(spark, "shingles")
-    rows = docs.select("text").mapInArrow(lambda b: _prints(b, width, bits, parts), "part int, data binary")
-    filled = rows.repartition(parts, "part").mapInArrow(lambda b: _repeated(b, bits, uri), "part int").collect()  # part numbers
+    rows = docs.select("text").mapInArrow(bounded(lambda b: _prints(b, width, bits, parts)), "part int, data binary")
+    filled = rows.repartition(parts, "part").mapInArrow(bounded(lambda b: _repeated(b, bits, uri)), "part int").collect()  # part numbers
     return Table(uri, parts, {r.part for r in filled}), bits
 
 
@@ -204,7 +204,7 @@ def _sets(docs: DataFrame, width: int, similar: tuple[int, int], crowd: int) ->
         lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x))) for x in (prefixes, salts)]
         return pa.RecordBatch.from_arrays([ids, pa.array([len(m) for m in sets], pa.int64()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n", "digest", "prefix", "salt"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, salt array<int>")
+    return docs.select("doc_id", "text").mapInArrow(bounded(run), "doc_id long, n long, digest binary, prefix array<long>, salt array<int>")
 
 
 def _groups(batches):
@@ -277,7 +277,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, similar: tuple[int,
     texts = shared.keep(_texts(docs, nodes, nodes.count()).distinct(), "texts")
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     joined = joined.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(bounded(run), "a long, b long").distinct()
 
 
 def _within(pairs: DataFrame, maps: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -299,7 +299,7 @@ def _within(pairs: DataFrame, maps: DataFrame, similar: tuple[int, int]) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     one, two = (maps.select(*[F.col(c).alias(t) for c, t in (("node", s), ("n", f"n_{s}"), ("map", f"map_{s}"))]) for s in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(bounded(run), "a long, b long").distinct()
 
 
 def _maps(batches, width: int):
@@ -391,7 +391,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int
 
     rows = one_each.select(F.col("doc_id").alias("node"), F.explode(F.arrays_zip("prefix", "salt")).alias("x")).select(F.col("x.prefix").alias("token"), F.col("x.salt").alias("salt"), "node")
     rows = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
-    groups = rows.mapInArrow(_groups, "token long, salt int, node long, leader long")
+    groups = rows.mapInArrow(bounded(_groups), "token long, salt int, node long, leader long")
     groups = shared.keep(groups, "groups")
 
     stars = groups.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
@@ -400,7 +400,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int
     heads = heads.join(first, "token").where("leader <> first").select(F.col("first").alias("a"), F.col("leader").alias("b"))
     pairs = shared.keep(stars.unionByName(heads).distinct(), "pairs")
     nodes = shared.keep(groups.select("node").distinct(), "grouped")
-    maps = _texts(docs, nodes, nodes.count()).mapInArrow(lambda b: _maps(b, width), "node long, n long, map binary")
+    maps = _texts(docs, nodes, nodes.count()).mapInArrow(bounded(lambda b: _maps(b, width)), "node long, n long, map binary")
     maps = shared.keep(maps.distinct(), "maps")
     links = shared.keep(_verified(shared.keep(_within(pairs, maps, similar), "within"), docs, width, similar), "links")
     labels = shared.keep(components(links), "labels")
@@ -413,14 +413,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int
     apart = shared.keep(apart, "apart")
     if not apart.isEmpty():
         tiles = apart.join(maps, "node").select("token", "rest", "node", "comp", "n", "map")
-        tiles = shared.keep(tiles.repartition("token").sortWithinPartitions("token", "rest", "n").mapInArrow(_tiles, TILES), "tiles")
+        tiles = shared.keep(tiles.repartition("token").sortWithinPartitions("token", "rest", "n").mapInArrow(bounded(_tiles), TILES), "tiles")
         one = tiles.select("token", *[F.col(c).alias(f"a_{c}") for c in tiles.columns if c != "token"])
         two = tiles.select("token", *[F.col(c).alias(f"b_{c}") for c in tiles.columns if c != "token"])
         part, whole = similar
         near = (F.col("a_hi") * whole >= F.col("b_lo") * part) & (F.col("b_hi") * whole >= F.col("a_lo") * part)
         both = one.join(two, "token").where((F.col("a_tile") <= F.col("b_tile")) & ~(F.col("a_pure") & F.col("b_pure")) & near)
         both = both.withColumn("same", F.col("a_tile") == F.col("b_tile"))
-        more = both.mapInArrow(lambda b: _tile_pairs(b, similar), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+        more = both.mapInArrow(bounded(lambda b: _tile_pairs(b, similar)), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
         more = shared.keep(more, "more-pairs")
         if not more.isEmpty():
             links = links.unionByName(_verified(more, docs, width, similar))

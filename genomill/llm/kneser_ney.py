@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .bytewise import U, Words, buffers, chain, crc_remainder, slices
+from .bytewise import U, Words, bounded, buffers, chain, crc_remainder, slices
 from .files import Table, pack, part_of, unpack, write
 
 BEGIN, END = U(0x5BD1E9955BD1E995), U(0xC2B2AE3D27D4EB4F)
@@ -246,9 +246,9 @@ def train(docs: DataFrame, order: int = 2, modulus: int = 7, held_out: int = 2)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // TEXT_PER_PART))
     uri = shared.place(spark, "kneser-ney")
-    rows = docs.select("doc_id", "text").mapInArrow(lambda b: _counted(b, order, parts, modulus, held_out), ROWS)
+    rows = docs.select("doc_id", "text").mapInArrow(bounded(lambda b: _counted(b, order, parts, modulus, held_out)), ROWS)
     for _ in range(2):  # n-grams, then what follows from them
-        rows = rows.repartition(parts, "kind", "part").mapInArrow(lambda b: _merged(b, order, parts, uri), ROWS)
+        rows = rows.repartition(parts, "kind", "part").mapInArrow(bounded(lambda b: _merged(b, order, parts, uri)), ROWS)
     stats: dict[str, np.ndarray] = {}
     files: dict[str, set[int]] = {}
     for kind, part, data in rows.where("part < 0").collect():  # a few numbers of each part
@@ -322,4 +322,4 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, held_out: int = 2) ->
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return docs.select("doc_id", "text").mapInArrow(bounded(run), kind)

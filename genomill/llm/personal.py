@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import shared
+from .bytewise import bounded
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of the longest segment: nineteen digits with a separator after each.
@@ -369,7 +370,7 @@ def find(docs: DataFrame, model: Field) -> DataFrame:
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(first, 1024) for whole in batches for first in range(0, len(whole), 1024)):
             ids = batch.column("doc_id")
             rows = []
             for text in batch.column("text").to_pylist():
@@ -382,4 +383,4 @@ def find(docs: DataFrame, model: Field) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return docs.select("doc_id", "text").mapInArrow(bounded(run), kind)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -36,10 +37,13 @@ def ship(spark: SparkSession) -> None:
 def folder(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir, as a URI.
 
-    Where the setting is absent, as in tests of one machine, a temporary folder stands in for it.
+    Where the setting is absent, as in tests of one machine, a temporary folder stands in for it; with
+    executors on other machines it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="genomill-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(shutil.rmtree, root.removeprefix("file://"), True)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .bytewise import bounded
 
 #: Wrappers up to this many bytes in all are sent to every task; beyond, pages are joined with them by host.
 SENT = 16 << 20
@@ -376,7 +377,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(texts, pa.int64()), pa.array(some.values(), pa.float64())], ["host", "path", "unit", "pages"])
 
     # Tasks combine their counts first, and keys hold the text: no task sees a host's pages.
-    counts = marked.select("host", "html", "times").mapInArrow(count, "host string, path long, unit long, pages double")
+    counts = marked.select("host", "html", "times").mapInArrow(bounded(count), "host string, path long, unit long, pages double")
     counts = counts.groupBy("host", "path", "unit").agg(F.round(F.sum("pages"), 3).alias("pages")).where(F.col("pages") >= LEAST)
     counts = shared.keep(counts, "counts")
     of = counts.where("unit = 0").select("host", "path", F.col("pages").alias("all"))
@@ -398,7 +399,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
-    return rows.select("page_id", "url", "html", "host", "template").mapInArrow(run, kind)
+    return rows.select("page_id", "url", "html", "host", "template").mapInArrow(bounded(run), kind)
 
 
 #: For pages whose article is an ``article`` element without other parts in it.
