@@ -3,7 +3,8 @@
 Tokens are words in lower case and one end after each text; each text is preceded by ``order - 1``
 begins. Tasks count the n-grams of their texts, ranges of hashes of the last two tokens are merged, and each
 range becomes a sorted array of n-gram hashes with counts in the shared folder. From distinct n-grams follow
-the continuation counts of the next lower order, in the same range down to two tokens; sums by context
+the continuation counts of the next lower order, in the same range down to two tokens; n-grams that start with a
+begin keep their own counts. Sums by context
 (total, n-grams seen once, twice, more often) become sorted arrays likewise. Nothing is pruned.
 What reaches the driver are counts of counts. Words and n-grams are known by 64-bit hashes.
 
@@ -176,7 +177,8 @@ def _merged(batches, top: int, parts: int, uri: str):
                     break
                 once, twice = (count == 1).astype(np.int64), (count == 2).astype(np.int64)
                 yield _rows(_by_part(f"c{k}", chain(columns[:-1]), [count, once, twice, 1 - once - twice], parts))
-                k, columns, sums = k - 1, columns[1:], [np.ones(len(h), dtype=np.int64)]
+                # Only begins come before a begin: what starts with one keeps its count, not that of its left neighbours.
+                k, columns, sums = k - 1, columns[1:], [np.where(columns[1] == BEGIN, count, 1)]
                 if k == 1:
                     yield _rows(_shipped("n1", columns, sums, parts))
                     break

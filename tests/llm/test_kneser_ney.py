@@ -25,7 +25,9 @@ def plain(rows, order):
     raw = Counter(x for w in learn for x in w)
     counts = {order: level}
     for k in range(order - 1, 0, -1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
+        counts[k] = Counter()
+        for g, c in counts[k + 1].items():
+            counts[k][g[1:]] += c if k > 1 and g[1] == 0 else 1
     sums, cut = {}, {}
     for k, table in counts.items():
         by = defaultdict(lambda: [0, 0, 0, 0])
