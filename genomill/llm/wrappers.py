@@ -140,23 +140,23 @@ def is_away(node: Node, in_article: bool) -> bool:
 def text_of(node: Node, skip=None) -> str:
     """Blocks joined by one space, white space inside them as one space, character references decoded."""
     out: list[str] = []
-
-    def walk(n: Node) -> None:
-        for x in n.inside:
-            if isinstance(x, str):
-                out.append(x)
-                continue
-            if skip is not None and skip(x):
-                out.append(" ")
-                continue
-            apart = x.tag in BLOCK or x.tag == "br"
+    open_ = [(iter(node.inside), False)]  # markup may be nested deeper than calls can be
+    while open_:
+        inside, apart = open_[-1]
+        x = next(inside, None)
+        if x is None:
+            open_.pop()
             if apart:
                 out.append(" ")
-            walk(x)
+        elif isinstance(x, str):
+            out.append(x)
+        elif skip is not None and skip(x):
+            out.append(" ")
+        else:
+            apart = x.tag in BLOCK or x.tag == "br"
             if apart:
                 out.append(" ")
-
-    walk(node)
+            open_.append((iter(x.inside), apart))
     return " ".join(html.unescape("".join(out)).split())
 
 
@@ -261,29 +261,32 @@ def units(root: Node) -> list[tuple[str, str, list[tuple[list, int]]]]:
         if text:
             out.append((path, text, [(inside, i) for inside, i, _ in parts]))
 
-    def walk(n: Node, block: str, path: str) -> None:
-        nonlocal runs
-        for i, x in enumerate(n.inside):
-            if isinstance(x, str):
-                run.append((n.inside, i, x))
-                continue
+    # Frames: node, its children with their places, path of its block, its own path, and where the run stood before it.
+    open_: list[tuple] = [(root, iter(enumerate(root.inside)), "", "", 0, 0)]
+    while open_:
+        n, inside, block, path, at, before = open_[-1]
+        i, x = next(inside, (0, None))
+        if x is None:
+            open_.pop()
+            apart = n.tag in BLOCK or n.tag == "br"
+            if apart and open_:
+                ended(path, run)
+                run.clear()
+                runs += 1
+            elif open_ and runs == before and ("class" in n.attributes or "id" in n.attributes):
+                ended(path, run[at:])
+        elif isinstance(x, str):
+            run.append((n.inside, i, x))
+        else:
             apart = x.tag in BLOCK or x.tag == "br"
-            inner = f"{path}>{x.key()}"
+            inner = f"{_hash(path, x.key()):x}"
             at, before = len(run), runs
             if apart:
                 ended(block, run)
                 run.clear()
                 runs += 1
-            if not is_away(x, True):
-                walk(x, inner if apart else block, inner)
-            if apart:
-                ended(inner, run)
-                run.clear()
-                runs += 1
-            elif runs == before and ("class" in x.attributes or "id" in x.attributes):
-                ended(inner, run[at:])
-
-    walk(root, "", "")
+            below = () if is_away(x, True) else enumerate(x.inside)
+            open_.append((x, iter(below), inner if apart else block, inner, at, before))
     ended("", run)
     return out
 
@@ -320,12 +323,14 @@ def without(root: Node, template: frozenset[int]) -> None:
 
 def _find(node: Node, test) -> Iterator[Node]:
     """The outermost elements that pass, none of them below what is no part of an article."""
-    for x in node.inside:
+    waiting = node.inside[::-1]
+    while waiting:
+        x = waiting.pop()
         if isinstance(x, Node) and not is_away(x, False):
             if test(x):
                 yield x
             else:
-                yield from _find(x, test)
+                waiting += x.inside[::-1]
 
 
 def extract(page: str, template: frozenset[int] = frozenset()) -> str:
