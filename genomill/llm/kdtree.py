@@ -1,14 +1,17 @@
 """Exact top-k search by inner product with a KD-tree per shard.
 
-Vectors are dealt to shards of bounded size. A shard's tree splits at medians of the widest
-dimension, and each leaf has a tight bounding box; no vector in a box has a larger inner product
-with a query than the sum of the better corner's products. Leaves are visited from the best bound
-down, until the bound falls below the query's kth score. Each query first searches the shard that
-it lies in; the kth score that it finds there goes with it to all other shards.
+Vectors are dealt to regions by median splits of the widest dimension, fitted on a sample of bounded size, and
+regions of too many vectors are dealt out over several shards. A shard's tree splits in the same way, and each leaf
+has a tight bounding box; no vector in a box has a larger inner product with a query than the sum of the better
+corner's products. Leaves are visited from the best bound down, until the bound falls below the query's kth score.
+Each query first searches the shard that it lies in; with the kth score that it finds there it goes to those regions
+only whose tight box, over all their vectors, reaches that score.
 """
 
 from __future__ import annotations
 
+import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
+from .bytewise import bounded
 
 K = 20
 EVERY = 20
@@ -25,6 +29,11 @@ LEAF = 128
 #: Vectors of a shard, and queries that go through a shard together.
 SHARD = 16_384
 BLOCK = 4_096
+#: Vectors that the splits into regions are fitted on (expected; all vectors are placed), and bytes of all regions' boxes.
+SAMPLE = 20_000
+BOXES = 32 << 20
+#: Cells whose numbers of blocks are sent to all tasks; more are joined.
+MOST_CELLS = 1_000_000
 SCALE = 64
 NONE = np.iinfo(np.int64).min
 LAST = np.iinfo(np.int64).max
@@ -137,11 +146,103 @@ def search(vectors: np.ndarray, ids: np.ndarray, uids: np.ndarray, queries: np.n
             yield q, tree.order[where[q][good]], best[q][good]
 
 
+class Splits:
+    """Median splits of a space: for each node its dimension (-1: a region), its cut, and its two children or its region."""
+
+    def __init__(self, vectors: np.ndarray, regions: int):
+        self.dim, self.cut, self.child = [], [], []
+        parts: list[tuple[int, np.ndarray]] = [(0, vectors)]
+        waiting, leaves = [(-len(vectors), 0)], 1
+        self._node()
+        held = dict(parts)
+        while waiting and leaves < regions:  # the largest part is split first
+            _, node = heapq.heappop(waiting)
+            some = held.pop(node)
+            spread = some.max(axis=0) - some.min(axis=0) if len(some) and some.shape[1] else np.zeros(0)
+            if not len(spread) or not spread.max() > 0:
+                continue
+            d = int(spread.argmax())
+            column = some[:, d]
+            cut = np.partition(column, len(column) // 2)[len(column) // 2]
+            if cut == column.min():  # equal values stay together: those above it go
+                cut = column[column > cut].min()
+            above = column >= cut
+            self.dim[node], self.cut[node], self.child[node] = d, float(cut), len(self.dim)
+            for mine in (some[~above], some[above]):
+                new = self._node()
+                held[new] = mine
+                heapq.heappush(waiting, (-len(mine), new))
+            leaves += 1
+        for i, node in enumerate(n for n, d in enumerate(self.dim) if d < 0):
+            self.child[node] = i
+        self.dim, self.child, self.cut = np.array(self.dim), np.array(self.child), np.array(self.cut)
+
+    def _node(self) -> int:
+        self.dim.append(-1)
+        self.cut.append(0.0)
+        self.child.append(0)
+        return len(self.dim) - 1
+
+    def place(self, vectors: np.ndarray) -> np.ndarray:
+        """The region of each vector."""
+        at = np.zeros(len(vectors), dtype=np.int64)
+        going = np.flatnonzero(self.dim[at] >= 0)
+        while len(going):
+            node = at[going]
+            at[going] = self.child[node] + (vectors[going, self.dim[node]] >= self.cut[node])
+            going = going[self.dim[at[going]] >= 0]
+        return self.child[at]
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), dims)
+
+
+def _by_dims(batches, size: int = 1024):
+    """Slices of batches whose vectors have the same number of components."""
+    for batch in batches:
+        dims = batch.column("dims").to_numpy()
+        for d in np.unique(dims).tolist():
+            mine = batch.filter(pa.array(dims == d))
+            for first in range(0, len(mine), size):
+                yield d, mine.slice(first, size)
+
+
+def _placed(batches, splits: dict[int, Splits]):
+    for d, some in _by_dims(batches, 8192):
+        region = splits[d].place(_matrix(some.column("v"), d)) if d in splits else np.zeros(len(some), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([*some.columns, pa.array(region)], [*some.schema.names, "region"])
+
+
+def _sent(batches, boxes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """A row for each region that a query may find better rows in."""
+    for d, part in _by_dims(batches):
+        regions, low, high = boxes[d]
+        size = max(1, (1 << 21) // len(regions))
+        for some in (part.slice(first, size) for first in range(0, len(part), size)):
+            q = _matrix(some.column("v"), d)
+            floor = some.column("floor").to_numpy(zero_copy_only=False).astype(np.float64)  # null: NaN, which no comparison drops
+            with np.errstate(over="ignore", invalid="ignore"):
+                bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+                slack = np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T * 1e-9
+                which, to = np.nonzero(~(bound + slack < floor[:, None]))
+            take = some.take(pa.array(which))
+            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(regions[to])], [*take.schema.names, "to"])
+
+
+def _corners(key, table):
+    """The box around several boxes."""
+    d = key[0].as_py()
+    low, high = (_matrix(table[c].combine_chunks(), d) for c in ("low", "high"))
+    return pa.table({"dims": [d], "region": [key[1].as_py()], "low": [low.min(axis=0).tobytes()], "high": [high.max(axis=0).tobytes()]}, schema=pa.schema([("dims", pa.int64()), ("region", pa.int64()), ("low", pa.binary()), ("high", pa.binary())]))
+
+
 FOUND = "query_uid long, query_id long, vec_id long, uid long, score long"
+BOX = "dims long, region long, low binary, high binary"
 
 
-def _cell(k: int):
-    """Searches the queries of the right side in the shard of the left side."""
+def _cell(k: int, box: bool = False):
+    """Searches the queries of the right side in the shard of the left side; ``box``: a row with the shard's corners as well."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         dims = left["dims"][0].as_py() if len(left) else 0
@@ -159,11 +260,25 @@ def _cell(k: int):
             out[2] += [real[i] for i in rows.tolist()]
             out[3] += uids[rows].tolist()
             out[4] += [int(s) for s in scores.tolist()]
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_uid", "query_id", "vec_id", "uid", "score"])
+        found = pa.table([pa.array(c, pa.int64()) for c in out], names=["query_uid", "query_id", "vec_id", "uid", "score"])
+        if not box:
+            return found
+        n, place = len(found), (key[0].as_py(), key[1].as_py())
+        corners = [vectors.min(axis=0).tobytes(), vectors.max(axis=0).tobytes()] if len(vectors) else [None, None]
+        extra = [pa.array([None] * n + [x], t) for x, t in zip([*place, *corners], (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+        one = [pa.concat_arrays([c.combine_chunks(), pa.nulls(1, pa.int64())]) for c in found.columns]
+        return pa.table([*one, *extra], names=[*found.column_names, "dims", "region", "low", "high"])
 
     return run
 
 
+def _fitted(key, table):
+    d = key[0].as_py()
+    order = np.argsort(table["uid"].to_numpy(), kind="stable")
+    splits = Splits(_matrix(table["v"].combine_chunks(), d)[order], table["regions"][0].as_py())
+    return pa.table({"dims": [d], "splits": [pickle.dumps(splits)]})
+
+
 def _anew(df: DataFrame) -> DataFrame:
     """The same columns as new ones, for joins of a table with itself."""
     return df.toDF(*df.columns)
@@ -182,21 +297,46 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, shard: int = SHARD
     shared.ship(spark)
     rows = vectors.select("vec_id", "embedding").withColumn("uid", F.monotonically_increasing_id())
     rows = shared.keep(rows.mapInArrow(scaled, "vec_id long, uid long, dims long, v binary"), "vectors")
-    sizes = rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q"))
-    sizes = sizes.select("dims", F.ceil(F.col("n") / shard).alias("shards"), F.greatest(F.ceil(F.col("q") / block), F.lit(1)).alias("blocks"))
-    rows = rows.join(F.broadcast(sizes), "dims")  # a row for each length of vectors
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("uid"), F.col("shards")))
-    queries = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("blocks")))
-
-    home = rows.select("dims", "shard", "vec_id", "uid", "v").groupBy("dims", "shard")
-    at_home = _anew(queries.select("dims", "shard", "vec_id", "uid", "v", F.lit(None).cast("long").alias("floor"))).groupBy("dims", "shard")
-    near = shared.keep(home.cogroup(at_home).applyInArrow(_cell(k), FOUND), "near")
+    sizes = rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n"))
+    regions = F.least(F.ceil(F.col("n") / shard), F.lit(BOXES) / (16 * F.greatest("dims", F.lit(1)))).cast("long")
+    sizes = sizes.select("dims", "n", F.when(F.col("dims") > 0, F.greatest(regions, F.lit(1))).otherwise(1).alias("regions")).where("regions > 1")
+    drawn = rows.join(F.broadcast(sizes), "dims")  # a row for each length of many vectors
+    drawn = drawn.where(F.pmod(F.xxhash64("uid", F.lit(7)), F.col("n")) < SAMPLE).select("dims", "regions", "uid", "v")
+    trees = drawn.groupBy("dims").applyInArrow(_fitted, "dims long, splits binary").collect()  # two numbers for each region
+    splits = spark.sparkContext.broadcast({r.dims: pickle.loads(r.splits) for r in trees})
+    rows = rows.mapInArrow(bounded(lambda b: _placed(b, splits.value)), "vec_id long, uid long, dims long, v binary, region long")
+    cells = rows.groupBy("dims", "region").agg(F.ceil(F.count(F.lit(1)) / shard).cast("long").alias("shards"))
+    cells = shared.keep(cells, "regions")  # as many rows as there are regions
+    rows = rows.join(F.broadcast(cells), ["dims", "region"]).withColumn("shard", F.pmod(F.xxhash64("uid"), F.col("shards"))).drop("shards")
+    rows = shared.keep(rows, "placed")
+    queries = rows.where(F.col("vec_id") % every == 0)
+
+    cell = ["dims", "region", "shard"]
+    home = rows.select(*cell, "vec_id", "uid", "v").groupBy(*cell)
+    at_home = _anew(queries.select(*cell, "vec_id", "uid", "v", F.lit(None).cast("long").alias("floor"))).groupBy(*cell)
+    near = shared.keep(home.cogroup(at_home).applyInArrow(_cell(k, box=True), f"{FOUND}, {BOX}"), "near")
+    boxes: dict[int, tuple] = {}
+    corners = near.where("low is not null").select("dims", "region", "low", "high").groupBy("dims", "region").applyInArrow(_corners, BOX)
+    found = corners.collect()  # BOXES bytes for each length of vectors
+    for d in sorted({r.dims for r in found}):
+        mine = [r for r in found if r.dims == d]
+        boxes[d] = (np.array([r.region for r in mine]), *(np.array([np.frombuffer(r[c], dtype=np.float64) for r in mine]) for c in ("low", "high")))
+    near = near.where("query_uid is not null").select("query_uid", "query_id", "vec_id", "uid", "score")
     floors = near.groupBy(F.col("query_uid").alias("uid")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
 
-    sent = queries.join(floors, "uid", "left").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where("`to` <> shard")
-    sent = _anew(sent.select("dims", F.col("to").alias("shard"), "block", "vec_id", "uid", "v", "floor")).groupBy("dims", "shard", "block")
-    spread = rows.where("shards > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("dims", "shard", "block", "vec_id", "uid", "v").groupBy("dims", "shard", "block")
+    known = spark.sparkContext.broadcast(boxes)
+    sent = queries.join(floors, "uid", "left").select("dims", "region", "shard", "vec_id", "uid", "v", "floor")
+    sent = sent.mapInArrow(bounded(lambda b: _sent(b, known.value)), "dims long, region long, shard long, vec_id long, uid long, v binary, floor long, to long")
+    sent = sent.join(F.broadcast(cells.select("dims", F.col("region").alias("to"), "shards")), ["dims", "to"])
+    sent = sent.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).where("`to` <> region or _s <> shard")
+    sent = shared.keep(sent.select("dims", F.col("to").alias("region"), F.col("_s").alias("shard"), "vec_id", "uid", "v", "floor"), "sent")
+    blocks = sent.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    blocks = shared.keep(blocks, "blocks")
+    blocks = F.broadcast(blocks) if blocks.count() <= MOST_CELLS else blocks
+    sent = sent.join(blocks, cell).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(1)), F.col("blocks")))
+    sent = _anew(sent.select(*cell, "block", "vec_id", "uid", "v", "floor")).groupBy(*cell, "block")
+    spread = rows.join(blocks, cell).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.select(*cell, "block", "vec_id", "uid", "v").groupBy(*cell, "block")
     far = spread.cogroup(sent).applyInArrow(_cell(k), FOUND)
 
     best = Window.partitionBy("query_uid").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "uid")

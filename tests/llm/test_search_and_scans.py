@@ -35,6 +35,29 @@ def test_top_k(spark, shard, block, k):
     assert kdtree.top_k(df.limit(0)).count() == 0
 
 
+def test_regions_hold_their_vectors_and_spare_searches(spark):
+    r = np.random.default_rng(9)
+    v = np.floor(r.normal(size=(1000, 4)) * 64)
+    splits = kdtree.Splits(v[:300], 16)
+    assert sorted(set(splits.place(v).tolist())) == list(range(16))
+    assert (kdtree.Splits(np.ones((50, 3)), 8).place(np.ones((5, 3))) == 0).all()
+    centres = r.normal(size=(12, 6)) * 40
+    rows = [(i, (centres[i % 12] + r.normal(size=6) * 0.1).tolist()) for i in range(1200)] + [(2000 + i, [5.0] * 6) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    counted = []
+    keep = kdtree.shared.keep
+    kdtree.shared.keep = lambda df, name: (out := keep(df, name), counted.append((name, out)))[0]
+    try:
+        got = kdtree.top_k(df, k=3, shard=50, block=10).collect()
+    finally:
+        kdtree.shared.keep = keep
+    tables = dict(counted)
+    assert sorted(map(str, [tuple(x) for x in got])) == sorted(map(str, plain_top(rows, 3)))
+    shards = tables["regions"].agg({"shards": "sum"}).first()[0]
+    queries = sum(i % 20 == 0 for i, _ in rows)
+    assert tables["sent"].count() < queries * (shards - 1) / 2
+
+
 def test_bounds_of_boxes():
     r = np.random.default_rng(8)
     v, q = np.floor(r.normal(size=(500, 5)) * 64), np.floor(r.normal(size=(20, 5)) * 64)
@@ -194,3 +217,8 @@ def test_licence_files(spark):
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].license_id for i in range(1, 10)] == ["MIT", "ISC", "ISC", "BSD-3-Clause", "Apache-2.0", "Apache-2.0", "BSL-1.0", None, None]
     assert got[2].notices == "ISC" and "BSL-1.0" in got[7].notices and got[8].canonical_sha256 != got[9].canonical_sha256
+
+
+def test_deep_markup():
+    deep = "<body>" + "<div>" * 20_000 + "a text" + "</div>" * 20_000 + "<nav>menu</nav></body>"
+    assert wrappers.extract(deep) == "a text" and [t for _, t, _ in wrappers.units(wrappers.parse(deep))] == ["a text"]
