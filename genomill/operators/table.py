@@ -144,9 +144,10 @@ class Variations:
 
     # the store
 
-    def write(self, path: str) -> None:
+    def write(self, path: str, parts: int | None = None) -> None:
         """Parquet sorted by chromosome and position, with samples and metadata beside it; an existing store is refused."""
-        self.df.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "row_idx").write.mode("error").option("compression", "zstd").parquet(f"{path}/variations")
+        cut = self.df.repartitionByRange(parts, "chrom", "pos") if parts else self.df.repartitionByRange("chrom", "pos")
+        cut.sortWithinPartitions("chrom", "pos", "row_idx").write.mode("error").option("compression", "zstd").parquet(f"{path}/variations")
         meta = json.dumps({"samples": self.samples, "ploidy": self.ploidy, "populations": self.populations, "metadata": self.metadata})
         self.df.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("error").text(f"{path}/meta")
 

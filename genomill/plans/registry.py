@@ -17,7 +17,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Stores of the fixture by the folder that it was derived from; without one queries derive it themselves.
+STORES: dict[str, str] = {}
+
+
 def load(spark: SparkSession, sf_dir: str) -> Variations:
+    if sf_dir in STORES:
+        return Variations.read(spark, STORES[sf_dir])
     names = fixture.names(spark, sf_dir)
     pops: dict[str, list[str]] = {}
     for _, name, pop in names:
@@ -25,6 +31,13 @@ def load(spark: SparkSession, sf_dir: str) -> Variations:
     return Variations(fixture.wide(spark, sf_dir), [n for _, n, _ in names], fixture.PLOIDY, pops)
 
 
+def store(spark: SparkSession, sf_dir: str, path: str, parts: int) -> None:
+    """Writes the fixture as a store of so many files, which queries on ``sf_dir`` read from then on."""
+    v = load(spark, sf_dir)
+    v.write(path, parts)
+    STORES[sf_dir] = path
+
+
 def query(name: str, sql: str | None = None):
     """Registers a function of a table; ``sql`` continues the common tables of the fixture."""
 
