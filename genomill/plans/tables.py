@@ -9,7 +9,7 @@ from .. import __main__ as cli
 from ..operators import distances, trees
 from ..operators.table import Variations
 from ..sinks import fasta, tables as table_sinks, vcf as vcf_sink
-from ..sources import matrix_text, sam, vcf
+from ..sources import bam, matrix_text, sam, vcf
 from . import fixture
 from .registry import CALLED, ORACLES, QUERIES, query
 from .scratch import place
@@ -403,3 +403,22 @@ def _leaves(v: Variations) -> DataFrame:
 
 
 query("tree_leaves", " select sample, true as named, 1 as subtrees from s")(_leaves)
+
+
+def bam_file(v: Variations) -> str:
+    """The reads of ``sam_text`` as a binary file, written by the driver: a fixture of some hundred reads."""
+    import os
+
+    from pyarrow import fs
+
+    spark, path = v.df.sparkSession, place(v.df.sparkSession, "bam")
+    lines = [r.value for r in spark.read.text(sam_text(v)).collect()]
+    store, folder = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+    store.create_dir(folder, recursive=True)
+    with store.open_output_stream(f"{folder}/reads.bam", compression=None) as out:
+        out.write(bam.encode(lines))
+    return f"{path}/reads.bam"
+
+
+query("bam_kmers", ORACLES["sam_kmers"].removeprefix(fixture.SQL))(lambda v: bam.read_kmers(v.df.sparkSession, [bam_file(v)], 5))
+query("bam_regions", ORACLES["sam_regions"].removeprefix(fixture.SQL))(lambda v: bam.read_kmers(v.df.sparkSession, [bam_file(v)], 5, regions=[("chr1", 1000, 2000)]))

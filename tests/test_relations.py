@@ -13,31 +13,44 @@ def pairs(df, a="i", b="j"):
     return {(r[a], r[b]): r["dist"] for r in df.collect()}
 
 
+# Genotypes whose distances are known, and these distances.
+KOSMAN_GTS = {
+    "a": [(-1, -1), (0, 0), (0, 1), (0, 0), (0, 0), (0, 1), (0, 1), (0, 1), (0, 0), (0, 0), (0, 1)],
+    "b": [(1, 1), (-1, -1), (0, 0), (0, 0), (1, 1), (0, 1), (1, 0), (1, 0), (1, 0), (0, 1), (1, 2)],
+    "c": [(1, 1)] * 11,
+}
+KOSMAN = {(0, 1): 1 / 3, (0, 2): 0.75, (0, 3): 0.75, (1, 2): 0.5, (1, 3): 0.5, (2, 3): 0}
+NEI_GTS = [[(0, 0)] * 3 + [(1, 1)] * 3 + [(1, 0)], [(0, 0)] * 3 + [(1, 1)] * 4, [(0, 0)] * 3 + [(1, 1)] * 4]
+NEI, NEI_WITH_ONE_MORE = 3.14019792, 1.23732507
+UNBIASED_GTS = [[(1, 1), (5, 2), (2, 2), (3, 2)], [(1, 1), (1, 2), (2, 2), (2, 1)], [(-1, -1)] * 4]
+UNBIASED = 0.3726315908494797
+DEST_GTS = [
+    [(1, 1), (1, 3), (1, 2), (1, 4), (3, 3), (3, 2), (3, 4), (2, 2), (2, 4), (4, 4), (-1, -1)],
+    [(1, 3), (1, 1), (1, 1), (1, 3), (3, 3), (3, 2), (3, 4), (2, 2), (2, 4), (4, 4), (-1, -1)],
+]
+DEST = 0.65490196
+
+
 def test_kosman_and_matching(spark):
-    a = [(-1, -1), (0, 0), (0, 1), (0, 0), (0, 0), (0, 1), (0, 1), (0, 1), (0, 0), (0, 0), (0, 1)]
-    b = [(1, 1), (-1, -1), (0, 0), (0, 0), (1, 1), (0, 1), (1, 0), (1, 0), (1, 0), (0, 1), (1, 2)]
-    c = [(1, 1)] * 11
+    a, b, c = (KOSMAN_GTS[k] for k in "abc")
     v = table(spark, list(zip(a, b, c, c, strict=True)))
-    got = pairs(distances.calc_pairwise_distance(v))
-    assert [got[k] for k in sorted(got)] == pytest.approx([1 / 3, 0.75, 0.75, 0.5, 0.5, 0])
+    assert pairs(distances.calc_pairwise_distance(v)) == pytest.approx(KOSMAN)
     assert pairs(distances.calc_pairwise_distance(v, min_num_snps=11))[2, 3] == 0 and pairs(distances.calc_pairwise_distance(v, min_num_snps=11))[0, 1] is None
     assert pairs(distances.calc_pairwise_distances_between_pops(v, ["s0"], ["s1", "s2"])) == {(0, 1): pytest.approx(1 / 3), (0, 2): 0.75}
     assert pairs(distances.calc_matching(v))[2, 3] == 1
 
 
 def test_population_distances(spark):
-    gts = [[(0, 0)] * 3 + [(1, 1)] * 3 + [(1, 0)], [(0, 0)] * 3 + [(1, 1)] * 4, [(0, 0)] * 3 + [(1, 1)] * 4]
     names = list("1234567")
-    v = table(spark, gts, samples=names)
+    v = table(spark, NEI_GTS, samples=names)
     nei = lambda pops: distances.calc_pop_distance(v, pops, "nei", 0).first().dist
-    assert nei({"a": names[:3], "b": names[3:]}) == pytest.approx(3.14019792)
-    assert nei({"a": names[:3], "b": [names[0], *names[3:]]}) == pytest.approx(1.23732507)
-    u = table(spark, [[(1, 1), (5, 2), (2, 2), (3, 2)], [(1, 1), (1, 2), (2, 2), (2, 1)], [(-1, -1)] * 4], samples=list("1234"))
-    assert distances.calc_pop_distance(u, {"a": ["1", "2"], "b": ["3", "4"]}, "nei_unbiased", 1).first().dist == pytest.approx(0.3726315908494797)
-    d = [[(1, 1), (1, 3), (1, 2), (1, 4), (3, 3), (3, 2), (3, 4), (2, 2), (2, 4), (4, 4), (-1, -1)], [(1, 3), (1, 1), (1, 1), (1, 3), (3, 3), (3, 2), (3, 4), (2, 2), (2, 4), (4, 4), (-1, -1)]]
-    w = table(spark, d)
+    assert nei({"a": names[:3], "b": names[3:]}) == pytest.approx(NEI)
+    assert nei({"a": names[:3], "b": [names[0], *names[3:]]}) == pytest.approx(NEI_WITH_ONE_MORE)
+    u = table(spark, UNBIASED_GTS, samples=list("1234"))
+    assert distances.calc_pop_distance(u, {"a": ["1", "2"], "b": ["3", "4"]}, "nei_unbiased", 1).first().dist == pytest.approx(UNBIASED)
+    w = table(spark, DEST_GTS)
     pops = {"a": [f"s{i}" for i in range(5)], "b": [f"s{i}" for i in range(5, 11)]}
-    assert distances.calc_pop_distance(w, pops, "dest", 0).first().dist == pytest.approx(0.65490196)
+    assert distances.calc_pop_distance(w, pops, "dest", 0).first().dist == pytest.approx(DEST)
 
 
 def test_linkage(spark):
