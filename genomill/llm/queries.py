@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,7 +57,6 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
         "op1_lm_scoring": op1_lm_scoring,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_licenses": op3_licenses,
