@@ -146,14 +146,20 @@ def _marked(text: str, marks: tuple[str, ...]) -> str:
     return text
 
 
+def _spaced(words: str) -> str:
+    """Words with a space on each side of every one."""
+    return f" {words.replace(' ', '  ')} "
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; that of null is empty."""
     text = F.lower(F.coalesce(text, F.lit("")))
     text = F.regexp_replace(F.regexp_replace(text, NOTICE_LINE, " "), RESERVED, " ")
     text = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, OTHER, " ")), F.lit(" "))
-    same = text
+    same = F.replace(text, F.lit(" "), F.lit("  "))  # each word has spaces of its own, so that equal words may follow one another
     for other, one in SPELLINGS.items():
-        same = F.replace(same, F.lit(f" {other} "), F.lit(f" {one} "))
+        same = F.replace(same, F.lit(_spaced(other)), F.lit(_spaced(one)))
+    same = F.replace(same, F.lit("  "), F.lit(" "))
     return F.trim(F.when(text.rlike(f" ({'|'.join(SPELLINGS)}) "), same).otherwise(text))
 
 
@@ -191,10 +197,10 @@ def _sql(text: str) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     out = f"lower(coalesce({text}, ''))"
     out = f"regexp_replace(regexp_replace({out}, {q(COPYRIGHT_LINE)}, ' ', 'g'), {q(RESERVED)}, ' ', 'g')"
-    out = f"(' ' || trim(regexp_replace({out}, {q(OTHER)}, ' ', 'g')) || ' ')"
+    out = f"replace(' ' || trim(regexp_replace({out}, {q(OTHER)}, ' ', 'g')) || ' ', ' ', '  ')"
     for other, one in SPELLINGS.items():
-        out = f"replace({out}, {q(f' {other} ')}, {q(f' {one} ')})"
-    return f"trim({out})"
+        out = f"replace({out}, {q(_spaced(other))}, {q(_spaced(one))})"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 def oracle() -> str:

@@ -222,3 +222,9 @@ def test_licence_files(spark):
 def test_deep_markup():
     deep = "<body>" + "<div>" * 20_000 + "a text" + "</div>" * 20_000 + "<nav>menu</nav></body>"
     assert wrappers.extract(deep) == "a text" and [t for _, t, _ in wrappers.units(wrappers.parse(deep))] == ["a text"]
+
+
+def test_equal_words_in_a_row(spark):
+    rows = [(1, "Licence licence LICENCE, copyright owner copyright owner"), (2, "license license license copyright holder copyright holder")]
+    got = {r.doc_id: r.canonical_sha256 for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2]
