@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __main__ as cli
+from ..functions import arrays
 from ..operators import distances, trees
 from ..operators.table import Variations
 from ..sinks import fasta, tables as table_sinks, vcf as vcf_sink
@@ -422,3 +423,20 @@ def bam_file(v: Variations) -> str:
 
 query("bam_kmers", ORACLES["sam_kmers"].removeprefix(fixture.SQL))(lambda v: bam.read_kmers(v.df.sparkSession, [bam_file(v)], 5))
 query("bam_regions", ORACLES["sam_regions"].removeprefix(fixture.SQL))(lambda v: bam.read_kmers(v.df.sparkSession, [bam_file(v)], 5, regions=[("chr1", 1000, 2000)]))
+
+# --- arrays of a size
+
+query("packets", " select vid // 300 as packet, count(*) as n, min(vid) as first, max(vid) as last from v group by 1")(
+    lambda v: arrays.packets(v.df, "row_idx", 300).select("packet", F.size("members").cast("long").alias("n"), F.col("members")[0].alias("first"), F.element_at("members", -1).alias("last"))
+)
+query("packets_filled", " select vid // 300 as packet, 300 as n, 300 - count(*) as missing from v group by 1")(
+    lambda v: arrays.packets(v.df, "row_idx", 300, filled=True).select("packet", F.size("members").alias("n"), F.size(F.filter("members", lambda x: x.isNull())).cast("long").alias("missing"))
+)
+query("resized_arrays", " select vid as row_idx, alt1 as one, alt2 as two, 'N' as three from v")(
+    lambda v: v.df.select("row_idx", arrays.resized(F.col("alt"), 3, "N").alias("x")).select("row_idx", F.col("x")[0].alias("one"), F.col("x")[1].alias("two"), F.col("x")[2].alias("three"))
+)
+query("stacked_arrays", " select vid as row_idx, alt1 as one, alt2 as two from v where vid < 30 union all select vid, alt1, '' from v where vid >= 100 and vid < 150")(
+    lambda v: arrays.stacked([v.chunk(0, 30).df.select("row_idx", "alt"), v.chunk(100, 150).df.select("row_idx", F.slice("alt", 1, 1).alias("alt"))], "alt", "").select(
+        "row_idx", F.col("alt")[0].alias("one"), F.col("alt")[1].alias("two")
+    )
+)

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from genomill.functions import arrays, iterables
 from genomill.operators import distances, filters, histograms, merge, ordering, plots, transforms, variant_stats, windows
 from genomill.sources import bam, sam, vcf
 from genomill.streaming import variants
@@ -132,3 +133,20 @@ def test_streams_filter_what_arrives(spark, tmp_path):
     query = variants.counts_by_chrom(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
     query.awaitTermination(60)
     assert {r.chrom: r.n for r in spark.table("counts").collect()} == {"a": 2, "b": 1}
+
+
+def test_iterators_and_arrays(spark):
+    assert list(iterables.packets("abcde", 2)) == [("a", "b"), ("c", "d"), ("e",)]
+    assert list(iterables.groups("abc", 2, "x")) == [("a", "b"), ("c", "x")] and list(iterables.groups("", 2)) == []
+    look = iterables.Peekable(range(4))
+    assert [look.peek(), look.peek(), next(look), look.peek()] == [0, 1, 0, 2]
+    look.reset_peek()
+    assert [look.peek(), *look] == [1, 1, 2, 3]
+    with pytest.raises(StopIteration):
+        look.peek()
+    queue = iterables.CompressedQueue()
+    queue.put_all(({"n": i, "x": "y" * 100} for i in range(2000)), most=1500)
+    assert len(queue) == 1500 and [x["n"] for x in queue] == list(range(1500)) == [x["n"] for x in queue] and len(queue.blocks) > 1
+    rows = spark.createDataFrame([(0, [1, 2, 3]), (1, []), (2, None)], "row_idx long, x array<int>")
+    assert column(arrays.stacked([rows, spark.createDataFrame([(3, [1, 2, 3, 4])], rows.schema)], "x", -1), "x") == [[1, 2, 3, -1], [-1] * 4, None, [1, 2, 3, 4]]
+    assert column(rows.select("row_idx", arrays.resized(rows.x, 2, 0).alias("x")), "x") == [[1, 2], [0, 0], None]
