@@ -10,8 +10,9 @@
    intersecting the sorted arrays. What is still apart in a shingle's group goes into tiles of nodes
    of like size, and all pairs of tiles of like size are compared in the same way.
 
-Groups are never held whole: they pass as sorted rows, and tiles have at most ``TILE`` nodes.
-Shingles are compared by 64-bit hashes.
+Groups are never held whole: they pass as sorted rows, a shingle of more than ``CROWD`` texts is dealt out over
+several groups, and tiles have at most ``TILE`` nodes. Shingles are compared by 64-bit hashes: two that share one
+count as equal, to the end.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +34,10 @@ from .files import Table, pack, part_of, unpack, write
 WIDTH = 5
 SIMILAR = (80, 100)
 #: Shingles that a task sorts together, and bytes of text for each range of fingerprints.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 TEXT_PER_PART = 16 << 20
 #: A shingle of more documents than this is dealt out over several groups.
-CROWD = 20_000
+CROWD = 1_000
 TILE = 1024
 #: Ids and digests up to this many are sent to all tasks instead of shuffling texts.
 SENT = 1_000_000
@@ -96,13 +98,13 @@ def is_similar(common, n, m, similar: tuple[int, int] = SIMILAR):
 
 def _prints(batches, width: int, bits: int, parts: int):
     """Fingerprints of the shingles of each text, the upper ``bits`` of their hashes, packed by part; a text counts once for each."""
-    for batch in batches:
-        for members in _some(shingle_sets(batch.column("text"), width), AT_ONCE):
-            found, n = np.unique(members >> U(64 - bits), return_counts=True)
-            cuts = np.searchsorted(part_of(found << U(64 - bits), parts), np.arange(parts + 1))
-            filled = np.flatnonzero(np.diff(cuts)).tolist()
-            data = [_packed(found[cuts[p] : cuts[p + 1]], n[cuts[p] : cuts[p + 1]]) for p in filled]
-            yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+    sets = (members for batch in batches for members in shingle_sets(batch.column("text"), width))
+    for members in _some(sets, AT_ONCE):
+        found, n = np.unique(members >> U(64 - bits), return_counts=True)
+        cuts = np.searchsorted(part_of(found << U(64 - bits), parts), np.arange(parts + 1))
+        filled = np.flatnonzero(np.diff(cuts)).tolist()
+        data = [_packed(found[cuts[p] : cuts[p + 1]], n[cuts[p] : cuts[p + 1]]) for p in filled]
+        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
 
 
 def _packed(found: np.ndarray, n: np.ndarray) -> bytes:
@@ -199,7 +201,7 @@ def _sets(docs: DataFrame, width: int, similar: tuple[int, int], crowd: int) ->
             chosen = chosen[n[chosen] > 1]  # what no other text has meets none
             prefixes.append(members[chosen].view(np.int64))
             groups = n[chosen] // crowd + 1
-            salts.append(np.where(groups > 1, 1 + (doc or 0) % groups, 0).astype(np.int32))
+            salts.append(np.where(groups > 1, 1 + (mix(np.array([doc or 0]).view(np.uint64)) >> U(1)).astype(np.int64) % groups, 0).astype(np.int32))
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x))) for x in (prefixes, salts)]
         return pa.RecordBatch.from_arrays([ids, pa.array([len(m) for m in sets], pa.int64()), pa.array(digests, pa.binary()), *lists], ["doc_id", "n", "digest", "prefix", "salt"])
@@ -318,7 +320,7 @@ TILES = "token long, tile long, pure boolean, lo long, hi long, nodes array<long
 def _tiles(batches):
     """Rows sorted by token, whether of the largest component, and size: tiles of at most TILE rows."""
     held: list = []
-    number = 0
+    number = TaskContext.get().partitionId() << 40
 
     def flush():
         nonlocal number
@@ -405,20 +407,27 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int
     links = shared.keep(_verified(shared.keep(_within(pairs, maps, similar), "within"), docs, width, similar), "links")
     labels = shared.keep(components(links), "labels")
 
-    apart = groups.select("token", "node").distinct().join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
-    by_comp = apart.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = by_comp.groupBy("token").agg(F.sum("k").alias("all"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp"))["comp"].alias("main"))
+    # What is still apart in a token's group. Crowded tokens keep their salts: no join or tile has all of their rows in one task.
+    apart = groups.select("token", "salt", "node").distinct().join(labels, "node", "left").select("token", "salt", "node", F.coalesce("component", "node").alias("comp"))
+    by_comp = apart.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.max("salt").alias("salts"))
+    mixed = by_comp.groupBy("token").agg(F.sum("k").alias("all"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp"))["comp"].alias("main"), F.max("salts").alias("salts"))
     # in a group of two the pair has been compared
-    apart = apart.join(mixed.where("comps > 1 and all > 2").select("token", "main"), "token").withColumn("rest", F.col("comp") != F.col("main")).drop("main")
+    mixed = mixed.where("comps > 1 and all > 2").select("token", "main", F.explode(F.when(F.col("salts") > 0, F.sequence(F.lit(1), F.col("salts"))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    apart = apart.join(mixed, ["token", "salt"]).withColumn("rest", F.col("comp") != F.col("main")).drop("main")
     apart = shared.keep(apart, "apart")
     if not apart.isEmpty():
-        tiles = apart.join(maps, "node").select("token", "rest", "node", "comp", "n", "map")
-        tiles = shared.keep(tiles.repartition("token").sortWithinPartitions("token", "rest", "n").mapInArrow(bounded(_tiles), TILES), "tiles")
-        one = tiles.select("token", *[F.col(c).alias(f"a_{c}") for c in tiles.columns if c != "token"])
-        two = tiles.select("token", *[F.col(c).alias(f"b_{c}") for c in tiles.columns if c != "token"])
         part, whole = similar
+        # Ranges of (token, size): a crowded token's rows lie in several tasks, each with sizes of its own.
+        tiles = apart.join(maps, "node").select("token", "rest", "node", "comp", "n", "map")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tiles = tiles.repartitionByRange(parts, "token", "rest", "n", "node").sortWithinPartitions("token", "rest", "n", "node")
+        tiles = shared.keep(tiles.mapInArrow(bounded(_tiles), TILES), "tiles")
+        heads = tiles.select("token", "tile", "pure", "lo", "hi")  # which tiles meet is decided without their bitmaps
+        one, two = (heads.select("token", *[F.col(c).alias(f"{t}_{c}") for c in heads.columns if c != "token"]) for t in "ab")
         near = (F.col("a_hi") * whole >= F.col("b_lo") * part) & (F.col("b_hi") * whole >= F.col("a_lo") * part)
-        both = one.join(two, "token").where((F.col("a_tile") <= F.col("b_tile")) & ~(F.col("a_pure") & F.col("b_pure")) & near)
+        both = one.join(two, "token").where((F.col("a_tile") <= F.col("b_tile")) & ~(F.col("a_pure") & F.col("b_pure")) & near).select("a_tile", "b_tile")
+        for t in "ab":
+            both = both.join(tiles.select(*[F.col(c).alias(f"{t}_{c}") for c in ("tile", "nodes", "comps", "sizes", "maps", "words")]), f"{t}_tile")
         both = both.withColumn("same", F.col("a_tile") == F.col("b_tile"))
         more = both.mapInArrow(bounded(lambda b: _tile_pairs(b, similar)), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
         more = shared.keep(more, "more-pairs")

@@ -17,6 +17,7 @@ _SHIPPED: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once for each application, wherever the driver was started."""
+    _bound_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -34,6 +35,18 @@ def ship(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, True)
 
 
+#: Bytes of an Arrow batch on its way to a worker: rows with long texts or tiles must not fill a worker's memory.
+BATCH_BYTES = 8 << 20
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(name))
+    if now is None or not 0 < int(now.group(1)) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def folder(spark: SparkSession) -> str:
     """A folder of this application below spark.checkpoint.dir, as a URI.
 
