@@ -72,14 +72,19 @@ def script_of_bytes(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(raw: np.ndarray) -> np.ndarray:
-    """For each byte, the bucket of the n-gram that ends one byte after it; white space counts as a space."""
-    flat = np.where(SPACE[raw], np.uint8(32), raw).astype(np.uint32)
+def features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each byte, the bucket of the n-gram that ends one byte after it; white space, and what lies outside of its text, counts as spaces.
+
+    ``at``: the offsets of the texts in the bytes.
+    """
+    flat = np.where(SPACE[raw], np.uint8(32), raw)
+    flat = np.insert(flat, np.repeat(at[1:-1], GRAM - 2), np.uint8(32)).astype(np.uint32)
     padded = np.concatenate([np.full(GRAM - 2, 32, np.uint32), flat, np.full(1, 32, np.uint32)])
-    n = len(raw)
+    n = len(flat)
     gram = np.zeros(n, dtype=np.uint32)
     for k in range(GRAM):
         gram = (gram << np.uint32(8)) | padded[k : k + n]
+    gram = gram[np.arange(len(raw)) + (GRAM - 2) * np.repeat(np.arange(len(at) - 1), np.diff(at))]
     return ((gram * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS_LOG2)).astype(np.int64)
 
 
@@ -112,8 +117,8 @@ def train(docs: DataFrame, modulus: int | None = 5) -> Model:
                 some = batch.column("text").filter(pa.array(langs == lang))
                 total = sums.setdefault(lang, np.zeros(size + N_SCRIPTS, dtype=np.int64))
                 raw, at = buffers(pc.utf8_lower(some))
-                for _, _, part, _ in slices(raw, at, AT_ONCE):
-                    total[:size] += np.bincount(features(part)[~SPACE[part]], minlength=size)
+                for _, _, part, offsets in slices(raw, at, AT_ONCE):
+                    total[:size] += np.bincount(features(part, offsets)[~SPACE[part]], minlength=size)
                     total[size:] += np.bincount(script_of_bytes(part), minlength=N_SCRIPTS)
         if sums:
             whole = pa.array([-1] * len(sums), pa.int32())
@@ -152,7 +157,7 @@ def train(docs: DataFrame, modulus: int | None = 5) -> Model:
     return Model(langs, np.log(grams / grams.sum(axis=1, keepdims=True)).astype(np.float32), may)
 
 
-def word_scores(model: Model, raw: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+def word_scores(model: Model, raw: np.ndarray, at: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Score of each word for each language, relative to its best candidate; bytes in letters of each word.
 
     A word without letters, or in a script of no language, scores 0 for all and weighs nothing.
@@ -164,7 +169,7 @@ def word_scores(model: Model, raw: np.ndarray, words: Words) -> tuple[np.ndarray
     script = script_of_bytes(raw)
     letter = np.concatenate([[0], np.cumsum(script > 0)])
     weight = letter[words.ends] - letter[words.starts]
-    bucket = features(raw)
+    bucket = features(raw, at)
     for k in range(n_langs):
         total = np.concatenate([[0.0], np.cumsum(model.table[k][bucket], dtype=np.float64)])
         scores[:, k] = total[words.ends] - total[words.starts]
@@ -230,7 +235,7 @@ def identify_texts(model: Model, texts: pa.Array, switch: float = SWITCH, with_s
     raw, at = buffers(lowered)
     for first, end, part, offsets in slices(raw, at, max(1 << 16, 4 * AT_ONCE // max(len(model.langs), 4))):
         words = Words(part, offsets)
-        scores, weight = word_scores(model, part, words)
+        scores, weight = word_scores(model, part, offsets, words)
         label = viterbi(scores, words.bounds, switch)
         n_langs = max(len(model.langs), 1)
         share = np.bincount(words.texts() * n_langs + label, weights=weight, minlength=(end - first) * n_langs).reshape(-1, n_langs)

@@ -115,3 +115,25 @@ def test_flight_keeps_totals():
 def test_texts_stay_where_no_language_is_known(spark):
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(["some words", None, "", "12 34", "mehr Text"])], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in language.with_language(docs).collect()) == [0, 4]
+
+
+def test_columns_of_the_same_names(spark):
+    more = "score double, lang_pred string, held_out int, spans string, size int, target string, taken long, times int, copy int, p double, source_size long, blocks long, key long, rows int, nth int"
+    rows = [(i, t, k, s, *[None] * 15) for i, t, k, s in corpus(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + more)
+    plain = docs.select("doc_id", "text", "lang", "source")
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(language.identify(docs, language.train(docs)), language.identify(plain, language.train(plain)))
+    assert same(mixing.mix_sources(docs), mixing.mix_sources(plain))
+    assert same(mixing.mixed(docs).select("doc_id", "text", "lang", "source"), mixing.mixed(plain)) and mixing.mixed(docs).columns == docs.columns
+    assert language.with_language(docs).columns == docs.columns and language.with_language(docs).select("score").distinct().collect() == [(None,)]
+
+
+def test_counts_meet_in_salted_groups(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(120), "doc_id long, text string, lang string, source string")
+    one = language.train(docs.coalesce(1))
+    monkeypatch.setattr(language, "SALTS", 3)
+    several = language.train(docs.repartition(9))
+    assert one.langs == several.langs and (one.table == several.table).all() and (one.scripts == several.scripts).all()
+    found = lambda d: sorted(map(str, language.identify(d, one, with_spans=True).collect()))
+    assert found(docs.coalesce(1)) == found(docs.repartition(9))
