@@ -121,3 +121,39 @@ class Table:
             for o, v in zip(out, values, strict=True):
                 o[mine] = np.where(hit, v[at], 0)
         return out
+
+
+def sink(uri: str):
+    """A new file, open for bytes."""
+    store, path = _at(uri)
+    store.create_dir(os.path.dirname(path), recursive=True)
+    return store.open_output_stream(path)
+
+
+class Runs:
+    """Runs of 64-bit numbers in the files of a folder, read one by one; those of the last ``room`` numbers are remembered."""
+
+    def __init__(self, uri: str, room: int = 4 << 20):
+        self.store, self.path = _at(uri)
+        self.room, self.size = room, 0
+        self.open: dict[int, object] = {}
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+
+    def get(self, file: int, at: int, n: int) -> np.ndarray:
+        """The n numbers from number ``at`` of a file on."""
+        if (run := self.held.get((file, at))) is None:
+            if self.size + n > self.room:
+                self.held, self.size = {}, 0
+            if file not in self.open:
+                if len(self.open) >= 64:
+                    self.close()
+                self.open[file] = self.store.open_input_file(f"{self.path}/{file}.bin")
+            run = np.frombuffer(self.open[file].read_at(8 * n, 8 * at), dtype="<u8")
+            self.held[file, at] = run
+            self.size += n
+        return run
+
+    def close(self) -> None:
+        for file in self.open.values():
+            file.close()
+        self.open = {}

@@ -8,7 +8,9 @@
 3. Nodes that meet in a shingle are first compared with its smallest node: hashed bitmaps bound the
    overlap from above by bit counts, and pairs within the bound are compared exactly by
    intersecting the sorted arrays. What is still apart in a shingle's group goes into tiles of nodes
-   of like size, and all pairs of tiles of like size are compared in the same way.
+   of like size, and all pairs of tiles of like size are compared in the same way, the arrays being read
+   from the shared folder: a task gives only links between nodes that its earlier links leave apart, so that
+   what tiles make grows with their nodes, and not with the pairs of them that are similar or nearly so.
 
 Groups are never held whole: they pass as sorted rows, a shingle of more than ``CROWD`` texts is dealt out over
 several groups, and tiles have at most ``TILE`` nodes. Shingles are compared by 64-bit hashes: two that share one
@@ -18,6 +20,7 @@ count as equal, to the end.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from . import shared
 from .bytewise import U, Words, bounded, buffers, chain, mix, slices
 from .components import components
-from .files import Table, pack, part_of, unpack, write
+from .files import Runs, Table, pack, part_of, sink, unpack, write
 
 WIDTH = 5
 SIMILAR = (80, 100)
@@ -304,17 +307,34 @@ def _within(pairs: DataFrame, maps: DataFrame, similar: tuple[int, int]) -> Data
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(bounded(run), "a long, b long").distinct()
 
 
-def _maps(batches, width: int):
-    for batch in batches:
-        nodes = batch.column("node")
-        n, maps = [], []
-        for members in shingle_sets(batch.column("text"), width):
-            n.append(len(members))
-            maps.append(bitmap(members, BITS[len(members) > 2 * BITS[0]]).tobytes())
-        yield pa.RecordBatch.from_arrays([nodes, pa.array(n, pa.int64()), pa.array(maps, pa.binary())], ["node", "n", "map"])
+MAPS = "node long, digest binary, n long, map binary, file long, at long"
 
 
-TILES = "token long, tile long, pure boolean, lo long, hi long, nodes array<long>, comps array<long>, sizes array<long>, maps binary, words int"
+def _maps(batches, width: int, uri: str):
+    """Bitmaps of the sets of texts. The sets themselves go to a file of this attempt's own: which, and from which number on."""
+    file, at, out = uuid.uuid4().int >> 66, 0, None
+    try:
+        for batch in batches:
+            out = out or sink(f"{uri}/{file}.bin")
+            digests, n, maps, places = [], [], [], []
+            for members in shingle_sets(batch.column("text"), width):
+                data = members.tobytes()
+                out.write(data)
+                digests.append(hashlib.blake2b(data, digest_size=16).digest())
+                n.append(len(members))
+                maps.append(bitmap(members, BITS[len(members) > 2 * BITS[0]]).tobytes())
+                places.append(at)
+                at += len(members)
+            cols = [pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(maps, pa.binary()), pa.array([file] * len(n), pa.int64()), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *cols], [x.split()[0] for x in MAPS.split(", ")])
+    finally:
+        if out is not None:
+            out.close()
+
+
+#: What a tile has of each of its nodes, besides its bitmap.
+EACH = ("nodes", "comps", "sizes", "files", "ats")
+TILES = f"token long, tile long, pure boolean, lo long, hi long, {', '.join(f'{c} array<long>' for c in EACH)}, maps binary"
 
 
 def _tiles(batches):
@@ -325,18 +345,17 @@ def _tiles(batches):
     def flush():
         nonlocal number
         number += 1
-        token, rest, _, _, _, m = held[0]
-        sizes = [r[4] for r in held]
-        return (token, number, not rest, min(sizes), max(sizes), [r[2] for r in held], [r[3] for r in held], sizes, b"".join(r[5] for r in held), len(m) // 8)
+        nodes, comps, sizes, maps, files, ats = (list(c) for c in zip(*(r[2:] for r in held), strict=True))
+        return (held[0][0], number, not held[0][1], min(sizes), max(sizes), nodes, comps, sizes, files, ats, b"".join(maps))
 
     def batch_of(rows):
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int32()]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * len(EACH), pa.binary()]
         names = [x.split()[0] for x in TILES.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     for batch in batches:
         rows = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("token", "rest", "node", "comp", "n", "map")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("token", "rest", "node", "comp", "n", "map", "file", "at")), strict=True):
             if held and (held[0][:2] != row[:2] or len(held) >= TILE or len(held[0][5]) != len(row[5])):
                 rows.append(flush())
                 held = []
@@ -347,28 +366,66 @@ def _tiles(batches):
         yield batch_of([flush()])
 
 
-def _tile_pairs(batches, similar: tuple[int, int]):
-    """Pairs of nodes of two tiles that are apart, of like size, and within the bound."""
-    names = ("nodes", "comps", "sizes", "maps", "words")
+def _common(members: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members each of the others shares; all are sorted, and none is empty."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(members, flat)
+    at[at == len(members)] = 0
+    starts = np.cumsum([0, *[len(o) for o in others[:-1]]])
+    return np.add.reduceat((members[at] == flat).astype(np.int64), starts)
+
+
+def _tile_links(batches, uri: str, similar: tuple[int, int]):
+    """Links between nodes of two tiles: like size, within the bound, then by exact intersection.
+
+    Nodes that earlier links of this task have joined count as one component, so there are fewer links than components.
+    """
+    sets = Runs(uri)
+    joined: dict[int, int] = {}
+
+    def root(comp: int) -> int:
+        while (up := joined.get(comp)) is not None:
+            joined[comp] = joined.get(up, up)
+            comp = up
+        return comp
+
+    def roots(comps: np.ndarray) -> np.ndarray:
+        distinct, where = np.unique(comps, return_inverse=True)
+        return np.array([root(c) for c in distinct.tolist()], dtype=np.int64)[where]
+
     for batch in batches:
         for r in range(len(batch)):
-            one, two = ({c: batch.column(s + c)[r].as_py() for c in names} for s in ("a_", "b_"))
-            same = batch.column("same")[r].as_py()
-            x, y = (np.frombuffer(t["maps"], dtype=np.uint64).reshape(-1, t["words"]) for t in (one, two))
+            one, two = ({c: batch.column(s + c)[r].values.to_numpy() for c in EACH} for s in ("a_", "b_"))
+            x, y = (np.frombuffer(batch.column(s + "maps")[r].as_py(), dtype=np.uint64).reshape(len(t["nodes"]), -1) for s, t in (("a_", one), ("b_", two)))
             words = min(x.shape[1], y.shape[1])
             x, y = fold(x, words), fold(y, words)
-            nodes, comps, sizes = (np.array(two[c], dtype=np.int64) for c in names[:3])
-            out: list[tuple[int, int]] = []
-            for i, (node, comp, n) in enumerate(zip(one["nodes"], one["comps"], one["sizes"], strict=True)):
-                others = np.flatnonzero((comps != comp) & is_similar(np.minimum(sizes, n), n, sizes, similar))
+            same = batch.column("same")[r].as_py()
+            mine = roots(one["comps"])
+            theirs = mine if same else roots(two["comps"])
+            sizes, out = two["sizes"], []
+            for i, n in enumerate(one["sizes"].tolist()):
+                others = np.flatnonzero((theirs != mine[i]) & is_similar(np.minimum(sizes, n), n, sizes, similar))
                 if same:
                     others = others[others > i]
                 if len(others):
-                    most = overlap_bound(x[i], n, y[others], sizes[others])
-                    out += [(node, m) for m in nodes[others[is_similar(most, n, sizes[others], similar)]].tolist()]
+                    others = others[is_similar(overlap_bound(x[i], n, y[others], sizes[others]), n, sizes[others], similar)]
+                while len(others):
+                    some = others[: max(1, int(np.searchsorted(np.cumsum(sizes[others[:32]]), AT_ONCE)))]
+                    found = [sets.get(int(two["files"][j]), int(two["ats"][j]), int(sizes[j])) for j in some.tolist()]
+                    members = sets.get(int(one["files"][i]), int(one["ats"][i]), n)
+                    for j in some[is_similar(_common(members, found), n, sizes[some], similar)].tolist():
+                        comp, to = int(theirs[j]), int(mine[i])
+                        if comp != to:
+                            joined[comp] = to
+                            out.append((int(one["nodes"][i]), int(two["nodes"][j])))
+                            mine[mine == comp] = to
+                            theirs[theirs == comp] = to
+                    others = others[len(some) :]
+                    others = others[theirs[others] != mine[i]]
             if out:
                 a, b = np.array(out, dtype=np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    sets.close()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, crowd: int = CROWD) -> DataFrame:
@@ -402,8 +459,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int
     heads = heads.join(first, "token").where("leader <> first").select(F.col("first").alias("a"), F.col("leader").alias("b"))
     pairs = shared.keep(stars.unionByName(heads).distinct(), "pairs")
     nodes = shared.keep(groups.select("node").distinct(), "grouped")
-    maps = _texts(docs, nodes, nodes.count()).mapInArrow(bounded(lambda b: _maps(b, width)), "node long, n long, map binary")
-    maps = shared.keep(maps.distinct(), "maps")
+    uri = shared.place(spark, "members")
+    maps = _texts(docs, nodes, nodes.count()).mapInArrow(bounded(lambda b: _maps(b, width, uri)), MAPS)
+    maps = shared.keep(maps.groupBy("node", "digest").agg(F.min(F.struct("file", "at", "n", "map")).alias("of")).select("node", "of.*"), "maps")
     links = shared.keep(_verified(shared.keep(_within(pairs, maps, similar), "within"), docs, width, similar), "links")
     labels = shared.keep(components(links), "labels")
 
@@ -418,7 +476,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int
     if not apart.isEmpty():
         part, whole = similar
         # Ranges of (token, size): a crowded token's rows lie in several tasks, each with sizes of its own.
-        tiles = apart.join(maps, "node").select("token", "rest", "node", "comp", "n", "map")
+        tiles = apart.join(maps, "node").select("token", "rest", "node", "comp", "n", "map", "file", "at")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         tiles = tiles.repartitionByRange(parts, "token", "rest", "n", "node").sortWithinPartitions("token", "rest", "n", "node")
         tiles = shared.keep(tiles.mapInArrow(bounded(_tiles), TILES), "tiles")
@@ -427,13 +485,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int
         near = (F.col("a_hi") * whole >= F.col("b_lo") * part) & (F.col("b_hi") * whole >= F.col("a_lo") * part)
         both = one.join(two, "token").where((F.col("a_tile") <= F.col("b_tile")) & ~(F.col("a_pure") & F.col("b_pure")) & near).select("a_tile", "b_tile")
         for t in "ab":
-            both = both.join(tiles.select(*[F.col(c).alias(f"{t}_{c}") for c in ("tile", "nodes", "comps", "sizes", "maps", "words")]), f"{t}_tile")
+            both = both.join(tiles.select(*[F.col(c).alias(f"{t}_{c}") for c in ("tile", *EACH, "maps")]), f"{t}_tile")
         both = both.withColumn("same", F.col("a_tile") == F.col("b_tile"))
-        more = both.mapInArrow(bounded(lambda b: _tile_pairs(b, similar)), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = shared.keep(more, "more-pairs")
+        more = both.mapInArrow(bounded(lambda b: _tile_links(b, uri, similar)), "a long, b long").distinct()
+        more = shared.keep(more, "more-links")
         if not more.isEmpty():
-            links = links.unionByName(_verified(more, docs, width, similar))
-            labels = shared.keep(components(shared.keep(links, "all-links")), "all-labels")
+            labels = shared.keep(components(links.unionByName(more)), "all-labels")
 
     named = sets.select("doc_id", "n", "digest").join(classes.select("digest", "node"), "digest", "left").join(labels, "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))

@@ -133,3 +133,46 @@ def test_texts_that_share_an_id_stay(spark):
     docs = spark.createDataFrame([(5, one), (5, two), (5, two), (3, one), (7, two)], "doc_id long, text string")
     got = sorted((r.doc_id, r.text[:1]) for r in jaccard.one_of_each(docs).collect())
     assert (3, "a") in got and got.count((5, "b")) == 1 and (7, "b") not in got
+
+
+@pytest.mark.parametrize("tile", [1024, 16])
+def test_links_grow_with_nodes_not_with_pairs(spark, monkeypatch, tile):
+    """A group whose first node is similar to none, while all others are to each other; and one that is only nearly similar."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    kept, keep = [], jaccard.shared.keep
+    monkeypatch.setattr(jaccard.shared, "keep", lambda df, name: kept.append(keep(df, name)) or kept[-1])
+    words, others = [f"w{i}" for i in range(100)], [f"o{j}" for j in range(60)]
+    rows = [(0, " ".join(words[:60] + others))]
+    rows += [(1 + i, " ".join([*words, f"x{i}"])) for i in range(90)]
+    rows += [(200 + i, " ".join([f"p{j}" for j in range(100)] + [f"y{i}.{j}" for j in range(13)])) for i in range(60)]
+    rows += [(300 + i, " ".join(others + words[56:])) for i in range(100)]  # copies: what the first node shares with the others is rarer
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
+    assert got == brute(rows) and got[90][1] == 1
+    assert max(df.count() for df in kept if df.columns == ["a", "b"]) <= 2 * len(rows)
+
+
+def test_links_of_tiles_join_what_is_apart(tmp_path):
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(200) < share], r.integers(0, 1 << 63, 5, dtype=np.uint64)])) for share in [0.97] * 20 + [0.88] * 20]
+    rows, at = [], 0
+    with jaccard.sink(f"{tmp_path}/7.bin") as out:
+        for s in sets:
+            out.write(s.tobytes())
+            rows.append(at)
+            at += len(s)
+    n = len(sets)
+    tile = {"nodes": list(range(n)), "comps": list(range(n)), "sizes": [len(s) for s in sets], "files": [7] * n, "ats": rows, "maps": b"".join(jaccard.bitmap(s, 2048).tobytes() for s in sets)}
+    batch = jaccard.pa.RecordBatch.from_pylist([{f"{t}_{k}": v for t in "ab" for k, v in tile.items()} | {"same": True}] * 2)
+    links = [(a, b) for out in jaccard._tile_links([batch], str(tmp_path), jaccard.SIMILAR) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    similar = {(i, j) for i in range(n) for j in range(i + 1, n) if jaccard.is_similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+    assert set(links) <= similar and len(links) == len(set(links)) < n < len(similar)
+
+    def joined(edges):
+        label = list(range(n))
+        for a, b in edges:
+            label = [label[a] if x == label[b] else x for x in label]
+        return [label.index(x) for x in label]
+
+    assert joined(links) == joined(similar)
