@@ -118,3 +118,15 @@ def test_words_of_a_batch_keep_what_is_at_hand(monkeypatch):
     own = pieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
     for text in ["one two three four five six", "two  three seven", "", "eight " * 3]:
         assert own.encode(text) == own.library.encode(text, add_bos=True, add_eos=True)
+
+
+def test_near_copies_make_rows_by_documents_not_by_pairs(spark, monkeypatch):
+    """Eighty near copies of one text, whose shingles all meet a smaller document first that is similar to none."""
+    kept, keep = [], pieces.shared.keep
+    monkeypatch.setattr(pieces.shared, "keep", lambda df, name: kept.append(keep(df, name)) or kept[-1])
+    words, others = [f"w{i}" for i in range(100)], [f"o{j}" for j in range(60)]
+    texts = [" ".join(words[:60] + others), *(" ".join([*words, f"x{i}"]) for i in range(80)), *[" ".join(others + words[56:])] * 90]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [0, 1, 81]
+    assert max(df.count() for df in kept if df.columns == ["a", "b"]) <= 2 * len(texts)
