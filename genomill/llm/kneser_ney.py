@@ -1,12 +1,13 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped for scoring.
 
 Tokens are words in lower case and one end after each text; each text is preceded by ``order - 1``
-begins. Tasks count the n-grams of their texts, ranges of hashes of the last two tokens are merged, and each
-range becomes a sorted array of n-gram hashes with counts in the shared folder. From distinct n-grams follow
+begins. Tasks count the n-grams of their texts, ranges of hashes of the token before the last are merged, and each
+range becomes a tree of contexts with what follows them in the shared folder. From distinct n-grams follow
 the continuation counts of the next lower order, in the same range down to two tokens; n-grams that start with a
-begin keep their own counts. Sums by context
-(total, n-grams seen once, twice, more often) become sorted arrays likewise. Nothing is pruned.
-What reaches the driver are counts of counts. Words and n-grams are known by 64-bit hashes.
+begin keep their own counts. Sums by context (total, n-grams seen once, twice, more often) follow there too, but for
+contexts that end in a frequent token: its n-grams are dealt out by their last token as well, and their sums meet in
+sorted arrays of hashes, as single tokens do. Nothing is pruned.
+What reaches the driver are counts of counts and frequent tokens, at most two a part. Words are known by 64-bit hashes.
 
     P_k(w | h) = (c(hw) - D(c(hw))) / c(h.) + (D1 n1(h.) + D2 n2(h.) + D3 n3+(h.)) / c(h.) * P_k-1(w | h')
     P_0(w) = 1 / (V + 1)
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,14 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .bytewise import U, Words, bounded, buffers, chain, crc_remainder, slices
-from .files import Table, pack, part_of, unpack, write
+from .contexts import Grown, Tree, bundle, packed, small
+from .files import Table, pack, part_of, read, unpack, write
 
 BEGIN, END = U(0x5BD1E9955BD1E995), U(0xC2B2AE3D27D4EB4F)
 #: Bytes of text for each range of hashes.
 TEXT_PER_PART = 16 << 20
+#: Groups of parts that are counted one after the other.
+TURNS = 2
 ROWS = "kind string, part int, data binary"
 
 
@@ -49,14 +54,14 @@ def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def grams(flat: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
+def grams(flat: np.ndarray, bounds: np.ndarray, order: int, begin=BEGIN) -> list[np.ndarray]:
     """Columns of the n-gram that ends in each token: the token last, begins before the text's first."""
     place = np.arange(len(flat)) - np.repeat(bounds[:-1], np.diff(bounds))
     out = [flat]
     for back in range(1, order):
-        column = np.full(len(flat), BEGIN, dtype=np.uint64)
+        column = np.full(len(flat), begin, dtype=flat.dtype)
         column[back:] = flat[:-back]
-        column[place < back] = BEGIN
+        column[place < back] = begin
         out.insert(0, column)
     return out
 
@@ -81,79 +86,145 @@ def _loosened(data: bytes) -> list[np.ndarray]:
     return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
 
 
-def _place(columns: list[np.ndarray]) -> np.ndarray:
-    """What says in which part an n-gram lies: the hash of its last two tokens."""
-    return chain(columns[-2:])
+def _place(columns: list[np.ndarray], frequent: np.ndarray) -> np.ndarray:
+    """What says in which part an n-gram lies: the token before its last, with the last one where that is frequent."""
+    if len(columns) == 1:
+        return columns[0]
+    place = columns[-2].copy()
+    rows = np.flatnonzero(_among(place, frequent))
+    place[rows] = chain([c[rows] for c in columns[-2:]])
+    return place
 
 
-def _distinct(columns: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Rows by hash: sorted hashes, the columns of each, and the sums of each."""
-    h = chain(columns)
-    order = np.argsort(h)
-    h = h[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    picked = order[first]
-    return h[first], [c[picked] for c in columns], [np.add.reduceat(s[order], first) if len(first) else s[:0] for s in sums]
+def _among(hashes: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each is one of the sorted hashes ``some``."""
+    if not len(some):
+        return np.zeros(len(hashes), dtype=bool)
+    return some[np.minimum(np.searchsorted(some, hashes), len(some) - 1)] == hashes
 
 
-def _shipped(kind: str, columns: list[np.ndarray], sums: list[np.ndarray], parts: int) -> list[tuple[str, int, bytes]]:
-    """Distinct rows by part. Within a part each word's hash is written once, and rows are in order of their words."""
-    _, columns, sums = _distinct(columns, sums)
-    part = part_of(_place(columns), parts)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    out = []
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        rows = order[cuts[p] : cuts[p + 1]]
-        names, where = np.unique(np.concatenate([c[rows] for c in columns]), return_inverse=True)
-        places = np.split(where.astype(np.int64), len(columns))
-        by = np.lexsort(places[::-1])
-        places = [x[by] for x in places]
-        arrays = [np.diff(places[0], prepend=0), *places[1:], *[s[rows][by].astype(np.int64) for s in sums]]
-        out.append((kind, p, _squeezed(names, *arrays)))
-    return out
+def _numbered(flat: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted hashes of the texts' words and the begin, and the columns of ``grams`` as numbers into them."""
+    words, where = np.unique(np.append(flat, BEGIN), return_inverse=True)
+    return words, grams(where[:-1], bounds, order, where[-1])
 
 
-def _received(data: list[bytes], width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Columns and sums of the rows of several messages of a part."""
-    columns, sums = [], []
-    for d in data:
-        names, first, *arrays = _loosened(d)
-        columns.append([names[w] for w in (np.cumsum(first, dtype=np.int64), *arrays[: width - 1])])
-        sums.append(arrays[width - 1 :])
-    cols = [np.concatenate(c) for c in zip(*columns, strict=True)]
-    return cols, [np.concatenate([x.astype(np.int64) for x in s]) for s in zip(*sums, strict=True)]
+def _shipped(held: list[tuple[np.ndarray, list[np.ndarray], np.ndarray]], parts: int) -> list[tuple[str, int, bytes]]:
+    """Distinct n-grams of several lots of words, columns of numbers into them and parts, with their counts, by part.
+
+    Within a part each word's hash is written once, and rows are in order of their words.
+    """
+    words = np.unique(np.concatenate([w for w, _, _ in held]))
+    lots = []
+    for own, numbers, _ in held:
+        to = np.searchsorted(words, own)
+        lots.append([to[c] for c in numbers])
+    columns = [np.concatenate(c) for c in zip(*lots, strict=True)]
+    part = np.concatenate([p for _, _, p in held])
+    key = packed(columns, len(words).bit_length())
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    count, picked = np.diff(first, append=len(key)), order[first]
+    part = small(part[picked])
+    by = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[by], np.arange(parts + 1))
+    out, to = [], np.zeros(len(words), np.int64)
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        rows = by[cuts[p] : cuts[p + 1]]
+        mine = [c[picked[rows]] for c in columns]
+        used = np.zeros(len(words), dtype=bool)
+        for c in mine:
+            used[c] = True
+        names = np.flatnonzero(used)
+        to[names] = np.arange(len(names))
+        places = [to[c] for c in mine]
+        out.append(("n", p, _squeezed(words[names], np.diff(places[0], prepend=0), *places[1:], count[rows])))
+    return out
 
 
-def _counted(batches, order: int, parts: int, modulus: int, held_out: int):
-    """n-grams of the texts to learn from."""
-    held: list[list[np.ndarray]] = []
-    size = 0
+def _received(data: list[bytes], width: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Sorted hashes of words, columns of numbers into them, and counts, of the rows of several messages of a part."""
+    rows = [_loosened(d) for d in data]
+    names = np.unique(np.concatenate([r[0] for r in rows]))
+    columns, counts = [], []
+    for own, first, *arrays in rows:
+        to = np.searchsorted(names, own)
+        columns.append([to[w] for w in (np.cumsum(first, dtype=np.int64), *arrays[: width - 1])])
+        counts.append(arrays[width - 1].astype(np.int64))
+    return names, [np.concatenate(c) for c in zip(*columns, strict=True)], np.concatenate(counts)
 
-    def flush():
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        return _rows(_shipped(f"n{order}", columns, [np.ones(len(columns[0]), dtype=np.int64)], parts))
 
+def _learned(batches, modulus: int, held_out: int):
+    """Token hashes and offsets of the texts to learn from, a slice at a time."""
     for batch in batches:
         learn = crc_remainder(batch.column("doc_id").to_pylist(), modulus) != held_out
         raw, at = buffers(batch.column("text").filter(pa.array(learn)))
         for _, _, part, offsets in slices(raw, at):
-            columns = grams(*tokens(Words(part, offsets)), order)
-            held.append(columns)
-            size += len(columns[0])
-            if size >= 4_000_000:
-                yield flush()
-                held, size = [], 0
+            yield tokens(Words(part, offsets))
+
+
+def _often(batches, parts: int, modulus: int, held_out: int):
+    """Tokens that may come before the last one of more than 1 / (2 parts) of all n-grams, and, by null, how many n-grams there are."""
+    for flat, bounds in _learned(batches, modulus, held_out):
+        hashes, n = np.unique(flat, return_counts=True)
+        hashes[hashes == END] = BEGIN  # a text has one n-gram less than tokens after its own, and one after a begin
+        many = n * 4 * parts >= len(flat)
+        keys = pa.concat_arrays([pa.array(hashes[many].view(np.int64)), pa.nulls(1, pa.int64())])
+        yield pa.RecordBatch.from_arrays([keys, pa.array([*n[many].tolist(), len(flat)], pa.int64())], ["token", "n"])
+
+
+def _counted(batches, order: int, parts: int, modulus: int, held_out: int, frequent: np.ndarray, turn: int, turns: int):
+    """n-grams of the texts to learn from, those of the turn's parts."""
+    held, size = [], 0
+    for flat, bounds in _learned(batches, modulus, held_out):
+        words, columns = _numbered(flat, bounds, order)
+        part = part_of(_place([words[c] for c in columns[-2:]], frequent), parts)
+        if turns > 1:
+            mine = np.flatnonzero(part % turns == turn)
+            columns, part = [c[mine] for c in columns], part[mine]
+        held.append((words, columns, part))
+        size += len(part)
+        if size >= 4_000_000:
+            yield _rows(_shipped(held, parts))
+            held, size = [], 0
     if held:
-        yield flush()
+        yield _rows(_shipped(held, parts))
 
 
-def _merged(batches, top: int, parts: int, uri: str):
-    """Merges what came for this task's parts and writes their arrays; a part at a time.
+def _merged(batches, order: int, parts: int, uri: str, frequent: np.ndarray):
+    """Merges the n-grams of this task's parts and writes their trees; a part at a time.
 
-    n-grams of order ``top`` give those of all lower orders down to two tokens here, as all n-grams of the
-    same last two tokens are in one part. Yields single tokens, context sums, counts of counts, and which files there are.
+    They give those of all lower orders down to two tokens and the sums of all contexts here, as all n-grams of the
+    same token before the last are in one part; of frequent ones only those with the same last token are, and
+    partial sums go on. Yields single tokens, such sums, and counts of counts.
     """
+    got: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            got.setdefault(part, []).append(data)
+    for part in sorted(got):
+        names, ids, count = _received(got.pop(part), order)
+        if not len(count):
+            continue
+        if order == 1:
+            raw = np.bincount(ids[0], count, len(names)).astype(np.int64)
+            yield _rows(_by_part("w", names, [raw, raw], parts))
+            continue
+        begin = np.flatnonzero(names == BEGIN)
+        tree = Grown(names, ids, count, int(begin[0]) if len(begin) else -1)
+        write(f"{uri}/tree/{part:06d}.bin", [bundle(tree.arrays)])
+        yield _rows([(f"n{k}", -1 - part, pack(seen)) for k, seen in tree.seen.items()])
+        last = tree.raw > 0
+        yield _rows(_by_part("w", names[last], [tree.followed[last], tree.raw[last]], parts))
+        for k, sums in tree.sums.items():
+            context = tree.contexts(k - 1)
+            partial = _among(context[-1], frequent)
+            yield _rows(_by_part(f"c{k}", chain(context)[partial], [s[partial] for s in sums], parts))
+
+
+def _summed(batches, uri: str):
+    """Merges single tokens and partial sums of contexts and writes their arrays; yields counts of counts and which files there are."""
     got: dict[tuple[str, int], list[bytes]] = {}
     for batch in batches:
         for kind, part, data in zip(batch.column("kind").to_pylist(), batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
@@ -162,32 +233,13 @@ def _merged(batches, top: int, parts: int, uri: str):
             else:
                 got.setdefault((kind, part), []).append(data)
     for kind, part in sorted(got):
-        data = got.pop((kind, part))
-        if kind[0] == "n":
-            k = int(kind[1:])
-            columns, sums = _received(data, k)
-            while True:
-                h, columns, (count,) = _distinct(columns, sums)
-                write(f"{uri}/n{k}/{part:06d}.bin", [h, _small(count)])
-                seen = np.bincount(np.minimum(count, 5), minlength=6)[1:5]
-                yield _rows([(f"n{k}", -1 - part, pack(np.array([*seen, count.sum(), len(h)], dtype=np.int64)))])
-                if k == top:
-                    yield _rows(_by_part("w", columns[-1], [count], parts))
-                if k == 1:
-                    break
-                once, twice = (count == 1).astype(np.int64), (count == 2).astype(np.int64)
-                yield _rows(_by_part(f"c{k}", chain(columns[:-1]), [count, once, twice, 1 - once - twice], parts))
-                # Only begins come before a begin: what starts with one keeps its count, not that of its left neighbours.
-                k, columns, sums = k - 1, columns[1:], [np.where(columns[1] == BEGIN, count, 1)]
-                if k == 1:
-                    yield _rows(_shipped("n1", columns, sums, parts))
-                    break
-        else:
-            several = [_loosened(d) for d in data]
-            h, *sums = (np.concatenate(x) for x in zip(*several, strict=True))
-            h, sums = _keyed(h, [s.astype(np.int64) for s in sums])
-            write(f"{uri}/{kind}/{part:06d}.bin", [h, *[_small(s) for s in sums]])
-            yield _rows([(kind, -1 - part, pack(np.array([len(h), sums[0].sum()], dtype=np.int64)))])
+        h, *sums = (np.concatenate(x) for x in zip(*[_loosened(d) for d in got.pop((kind, part))], strict=True))
+        h, sums = _keyed(h, [s.astype(np.int64) for s in sums])
+        write(f"{uri}/{kind}/{part:06d}.bin", [h, *[small(s) for s in sums]])
+        yield _rows([(kind, -1 - part, pack(np.array([len(h), sums[-1].sum()], dtype=np.int64)))])
+        if kind == "w":
+            seen = np.bincount(np.minimum(sums[0], 5), minlength=6)[1:5]
+            yield _rows([("n1", -1 - part, pack(np.array([*seen, sums[0].sum(), len(h)], dtype=np.int64)))])
 
 
 def _by_part(kind: str, h: np.ndarray, sums: list[np.ndarray], parts: int) -> list[tuple[str, int, bytes]]:
@@ -204,10 +256,6 @@ def _keyed(h: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.n
     return h[first], [np.add.reduceat(s[order], first) if len(first) else s[:0] for s in sums]
 
 
-def _small(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
-
-
 def discounts(seen: np.ndarray) -> np.ndarray:
     """D1, D2, D3+ from how many n-grams have counts 1 to 4; each at least 0 and at most its count."""
     n1, n2, n3, n4 = (float(x) for x in seen)
@@ -220,9 +268,10 @@ def discounts(seen: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Where the arrays are: n<k> counts of n-grams, c<k> sums of contexts, w counts of tokens; and global counts.
+    """Where the files are: trees of contexts, w followed and occurring counts of tokens, c<k> sums of contexts of frequent tokens; and global counts.
 
-    files: the parts of each that hold anything; seen: by order the n-grams of counts 1 to 4, their total, their number.
+    files: the parts of each that hold anything; seen: by order the n-grams of counts 1 to 4, their total, their number;
+    frequent: the sorted hashes of the tokens whose n-grams are dealt out by the last token too.
     """
 
     uri: str
@@ -232,6 +281,7 @@ class Model:
     n_types: int
     seen: dict[int, np.ndarray]
     files: dict[str, set[int]]
+    frequent: np.ndarray
 
     def table(self, kind: str) -> Table:
         return Table(f"{self.uri}/{kind}", self.parts, self.files.get(kind, set()))
@@ -241,25 +291,40 @@ def train(docs: DataFrame, order: int = 2, modulus: int = 7, held_out: int = 2)
     """Learns from all rows of ``docs`` whose crc32(doc_id as text) mod ``modulus`` is not ``held_out``.
 
     A null text is an empty one, a null doc_id counts as empty text; repeated rows count as often as
-    they are there. Without anything to learn from the model is uniform over one token.
+    they are there. Without anything to learn from the model is uniform over one token. The texts are read once for
+    each of ``TURNS`` groups of parts, so that only one group's n-grams are on their way at a time.
     """
     spark = docs.sparkSession
     shared.ship(spark)
+    docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // TEXT_PER_PART))
     uri = shared.place(spark, "kneser-ney")
-    rows = docs.select("doc_id", "text").mapInArrow(bounded(lambda b: _counted(b, order, parts, modulus, held_out)), ROWS)
-    for _ in range(2):  # n-grams, then what follows from them
-        rows = rows.repartition(parts, "kind", "part").mapInArrow(bounded(lambda b: _merged(b, order, parts, uri)), ROWS)
+    with shared.without_shuffles(spark):
+        frequent = np.zeros(0, np.uint64)
+        if parts > 1 and order > 1:
+            often = docs.mapInArrow(bounded(lambda b: _often(b, parts, modulus, held_out)), "token long, n long")
+            top = often.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(2 * parts + 1).collect()
+            total = sum(r.n for r in top if r.token is None)
+            frequent = np.sort(np.array([r.token for r in top if r.token is not None and 2 * parts * r.n > total], np.int64).view(np.uint64))
+        turns = min(TURNS, parts)
+        kept = []
+        for turn in range(turns):
+            rows = docs.mapInArrow(bounded(lambda b, turn=turn: _counted(b, order, parts, modulus, held_out, frequent, turn, turns)), ROWS)
+            rows = rows.repartitionById(-(-parts // turns), F.floor(F.col("part") / turns).cast("int")).mapInArrow(bounded(lambda b: _merged(b, order, parts, uri, frequent)), ROWS)
+            kept.append(shared.keep(rows, "kneser-ney-sums"))
+        rows = reduce(DataFrame.unionAll, kept).repartition(parts, "kind", "part").mapInArrow(bounded(lambda b: _summed(b, uri)), ROWS)
+        collected = rows.where("part < 0").collect()  # a few numbers of each part
     stats: dict[str, np.ndarray] = {}
     files: dict[str, set[int]] = {}
-    for kind, part, data in rows.where("part < 0").collect():  # a few numbers of each part
+    for kind, part, data in collected:
         a = unpack(data)[0].astype(np.int64)
         stats[kind] = stats[kind] + a if kind in stats else a
         files.setdefault(kind, set()).add(-1 - part)
+    files["tree"] = files.get("n2", set())
     n_types, n_tokens = stats.get("w", (0, 0))
     seen = {k: stats.get(f"n{k}", np.zeros(6, np.int64)) for k in range(1, order + 1)}
-    return Model(uri, order, parts, int(n_tokens), int(n_types), seen, files)
+    return Model(uri, order, parts, int(n_tokens), int(n_types), seen, files, frequent)
 
 
 class Scorer:
@@ -267,34 +332,68 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.counts = model.table("w")
-        self.grams = {k: model.table(f"n{k}") for k in range(1, model.order + 1)}
+        self.words = model.table("w")
+        self.trees: dict[int, Tree] = {}
         self.contexts = {k: model.table(f"c{k}") for k in range(2, model.order + 1)}
 
-    def token_counts(self, flat: np.ndarray) -> np.ndarray:
-        return _looked_up(self.counts, flat, 1)[0]
-
-    def log10(self, columns: list[np.ndarray]) -> np.ndarray:
-        """Of each row's last token after the others."""
+    def found(self, words: np.ndarray, columns: list[np.ndarray]) -> dict[int, list[np.ndarray]]:
+        """By order from 2 up: the counts of n-grams, and the four sums of their contexts. See ``Tree.find``."""
+        model, n = self.model, len(columns[0])
+        out = {k: [np.zeros(n, np.int64) for _ in range(5)] for k in range(2, model.order + 1)}
+        if not out:
+            return out
+        part = small(part_of(_place([words[c] for c in columns[-2:]], model.frequent), model.parts))
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(model.parts + 1))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            if p not in model.files["tree"]:
+                continue
+            if p not in self.trees:
+                self.trees[p] = Tree(read(f"{model.uri}/tree/{p:06d}.bin")[0], model.order)
+            mine = order[cuts[p] : cuts[p + 1]]
+            for k, values in self.trees[p].find(words, [c[mine] for c in columns]).items():
+                for o, v in zip(out[k], values, strict=True):
+                    o[mine] = v
+        partial = np.flatnonzero(_among(words[columns[-2]], model.frequent))
+        if len(partial):
+            for k, values in out.items():
+                context = chain([words[c[partial]] for c in columns[-k:-1]])
+                for o, v in zip(values[1:], _looked_up(self.contexts[k], context, 4), strict=True):
+                    o[partial] = v
+        return out
+
+    def scored(self, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token of the texts the log10 probability after those before it, and how often it occurs in what was learned."""
+        words, columns = _numbered(flat, bounds, self.model.order)
+        followed, often = self.words.find(words, 2)
+        often = often[columns[-1]]
+        kinds, back = np.unique(packed([*columns[-2::-1], columns[-1]], len(words).bit_length()), return_inverse=True)
+        row = np.empty(len(kinds), np.int64)
+        row[back] = np.arange(len(back))
+        columns = [c[row] for c in columns]
+        return self.log10(words, columns, followed[columns[-1]])[back], often
+
+    def log10(self, words: np.ndarray, columns: list[np.ndarray], followed: np.ndarray) -> np.ndarray:
+        """Of each row's last token after the others; ``followed``: after how many different tokens it stands."""
         model = self.model
         p = np.full(len(columns[0]), 1.0 / (model.n_types + 1))
+        found = self.found(words, columns)
         for k in range(1, model.order + 1):
             d = discounts(model.seen[k][:4])
-            (count,) = _looked_up(self.grams[k], chain(columns[-k:]), 1, _place(columns[-k:]))
             if k == 1:
                 n1, n2 = model.seen[1][:2]
-                total, n1, n2, n3 = (np.full(len(p), x) for x in (model.seen[1][4], n1, n2, model.seen[1][5] - n1 - n2))
+                count, total, n1, n2, n3 = (followed, *(np.full(len(p), x) for x in (model.seen[1][4], n1, n2, model.seen[1][5] - n1 - n2)))
             else:
-                total, n1, n2, n3 = _looked_up(self.contexts[k], chain(columns[-k:-1]), 4)
+                count, total, n1, n2, n3 = found.pop(k)
             of = np.maximum(total, 1)
             better = (count - d[np.minimum(count, 3)]) / of + (d[1] * n1 + d[2] * n2 + d[3] * n3) / of * p
             p = np.where(total > 0, better, p)
         return np.log10(p)
 
 
-def _looked_up(table: Table, keys: np.ndarray, columns: int, place: np.ndarray | None = None) -> list[np.ndarray]:
-    distinct, at, where = np.unique(keys, return_index=True, return_inverse=True)
-    return [v[where] for v in table.find(distinct, columns, None if place is None else place[at])]
+def _looked_up(table: Table, keys: np.ndarray, columns: int) -> list[np.ndarray]:
+    distinct, where = np.unique(keys, return_inverse=True)
+    return [v[where] for v in table.find(distinct, columns)]
 
 
 def score(docs: DataFrame, model: Model, modulus: int = 7, held_out: int = 2) -> DataFrame:
@@ -312,10 +411,9 @@ def score(docs: DataFrame, model: Model, modulus: int = 7, held_out: int = 2) ->
             ids = batch.column("doc_id")
             held = crc_remainder(ids.to_pylist(), modulus) == held_out
             raw, at = buffers(batch.column("text"))
-            for first, end, part, offsets in slices(raw, at):
+            for first, end, part, offsets in slices(raw, at, 1 << 22):
                 flat, bounds = tokens(Words(part, offsets))
-                logs = scorer.log10(grams(flat, bounds, model.order))
-                count = scorer.token_counts(flat)
+                logs, count = scorer.scored(flat, bounds)
                 base = np.log10((count + 1.0) / (model.n_tokens + model.n_types + 1.0))
                 sizes = np.diff(bounds)
                 sums = [np.add.reduceat(x, bounds[:-1]) for x in (logs, base, (count > 0).astype(np.int64))]

@@ -1,13 +1,16 @@
 """The model against a plain one over tuples of words."""
 
 import math
+import os
 import re
+import time
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import numpy as np
 import pytest
 
-from genomill.llm import kneser_ney
+from genomill.llm import contexts, kneser_ney
 
 
 def words(text):
@@ -97,3 +100,55 @@ def test_the_query_has_trigrams(spark, tmp_path):
     got = {r.doc_id: r.score for r in queries.op1_lm_scoring(spark, str(tmp_path)).collect()}
     want = plain(rows, 3)[0]
     assert {i: got[i] for i in want} == pytest.approx({i: want[i][5] for i in want})
+
+
+def shuffle_bytes(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_"))
+
+
+@pytest.mark.parametrize("top", [100, 30_000])
+def test_places_in_runs(top):
+    draw = np.random.default_rng(3)
+    runs = [np.unique((top * draw.random(n) ** 2).astype(np.int64)) for n in (0, 1, 2, 3, 300, 5_000)]
+    flat, ends = np.concatenate(runs), np.cumsum([len(x) for x in runs])
+    for run, end in zip(runs, ends, strict=True):
+        want = np.arange(-1, top)
+        got = contexts.within(lambda i: flat[i], np.full(len(want), end - len(run)), np.full(len(want), end), want, top)
+        place = {x: end - len(run) + i for i, x in enumerate(run.tolist())}
+        assert got.tolist() == [place.get(x, -1) for x in want.tolist()]
+
+
+def test_numbers_of_any_size():
+    draw = np.random.default_rng(5)
+    for high in (1, 200, 70_000, 1 << 25, 1 << 40):
+        rows = [draw.integers(0, high, 3_000), draw.integers(0, 3, 3_000)]
+        out = {}
+        contexts.put_numbers(out, "n", rows[0])
+        contexts.put_rising(out, "r", np.sort(rows[0]) >> 8)
+        contexts.put_coded(out, "c", rows)
+        back = contexts.opened(contexts.bundle(out))
+        i = draw.permutation(3_000)
+        assert (contexts.numbers(back, "n")(i) == rows[0][i]).all()
+        assert (contexts.rising(back, "r")(i) == (np.sort(rows[0]) >> 8)[i]).all()
+        for got, row in zip(contexts.coded(back, "c", 2)(i), rows, strict=True):
+            assert (got == row[i]).all()
+
+
+def test_disk_of_trigrams(spark, monkeypatch):
+    """No shuffle stays behind, and a different trigram takes less than 24 bytes of the model, all lower orders and sums included."""
+    monkeypatch.setattr(kneser_ney, "TEXT_PER_PART", 120_000)
+    draw = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in (20_000 * draw.random(2_000) ** 4).astype(int)) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).localCheckpoint()
+    before = shuffle_bytes(spark)
+    model = kneser_ney.train(docs, order=3)
+    for _ in range(50):  # Spark removes them in the background
+        if shuffle_bytes(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_bytes(spark) <= before
+    top = model.uri.removeprefix("file://")
+    size = sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(top) for f in names)
+    assert model.parts > 2 and len(model.frequent)
+    assert size < 24 * model.seen[3][5]
