@@ -93,8 +93,9 @@ query("vcf_chroms", " select distinct chrom from v")(
 
 def _zipped(v: Variations) -> DataFrame:
     """The text as a gzipped file, as it comes from elsewhere."""
-    spark, path = v.df.sparkSession, place(v.df.sparkSession, "vcf-gz")
-    spark.read.text(vcf_text(v.chunk(0, 500))).coalesce(1).write.option("compression", "gzip").text(path)
+    spark, path, one = v.df.sparkSession, place(v.df.sparkSession, "vcf-gz"), place(v.df.sparkSession, "vcf-one")
+    vcf_sink.write_vcf(described(v.chunk(0, 500)), one, single=True)
+    spark.read.text(one).coalesce(1).write.option("compression", "gzip").text(path)
     return vcf.read_vcf(spark, path).df.select("chrom", "pos", F.size("calls").alias("samples"))
 
 

@@ -70,7 +70,9 @@ def body(v: Variations) -> DataFrame:
 
 
 def write_vcf(v: Variations, path: str, single: bool = False) -> None:
-    """Text in parts, in the order of chromosomes and positions, the header as the first line of the first part; ``single``: one part."""
-    head = v.df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(header(v))], "i long, value string").select(F.lit("").alias("chrom"), F.lit(-1).alias("pos"), F.col("i").alias("row_idx"), "value")
-    lines = head.unionByName(body(v).select("chrom", F.col("pos").cast("int").alias("pos"), "row_idx", "value")).orderBy("chrom", "pos", "row_idx").select("value")
-    (lines.coalesce(1) if single else lines).write.text(path)
+    """Text in parts, in the order of chromosomes and positions, the header before the first line of the first part; ``single``: one part."""
+    head = v.df.sparkSession.createDataFrame([("\n".join(header(v)),)], "value string").select(F.lit(0).alias("_k"), F.lit("").alias("chrom"), F.lit(-1).alias("pos"), F.lit(-1).cast("long").alias("row_idx"), "value")
+    lines = head.unionByName(body(v).select(F.lit(1).alias("_k"), "chrom", F.col("pos").cast("int").alias("pos"), "row_idx", "value"))
+    order = ("_k", "chrom", "pos", "row_idx")
+    lines = lines.repartition(1).sortWithinPartitions(*order) if single else lines.orderBy(*order)
+    lines.select("value").write.text(path)

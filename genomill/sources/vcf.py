@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.table import Variations
+from .lines import PLACE, by_file, numbered, placed
 
 _META = re.compile(r'(\w+)=("(?:[^"\\]|\\.)*"|[^,]*)')
 _TYPES = {"Integer": "int", "Float": "double", "Flag": "boolean"}
@@ -55,7 +56,7 @@ def parse_gt(gt: Column) -> Column:
 
 
 def read_vcf(spark: SparkSession, path: str, kept_fields: list[str] | None = None, ignored_fields: list[str] | None = None) -> Variations:
-    """Reads plain or gzipped text; row_idx follows the order of the file.
+    """Reads plain or gzipped text; row_idx follows the order of the file, and of files by their names.
 
     Fields are named ``info/NAME`` and ``calls/NAME``; a name that the header lacks is refused. Of
     the calls GT, DP, GQ, RO, AO, AD become gt, dp, gq, ro, ao, ad, and any other field its name in
@@ -64,16 +65,17 @@ def read_vcf(spark: SparkSession, path: str, kept_fields: list[str] | None = Non
     if kept_fields is not None and ignored_fields is not None:
         raise ValueError("kept and ignored fields exclude each other")
     text = spark.read.text(path)
-    meta, samples = parse_header(_head(text))
+    files = by_file(text)
+    meta, samples = parse_header(_head(files))
     there = {f"info/{k}" for k in meta["INFO"]} | {f"calls/{k}" for k in meta["FORMAT"]}
     wanted = set(kept_fields if kept_fields is not None else ignored_fields or ())
     if wanted - there:
         raise ValueError(f"fields that the header lacks: {sorted(wanted - there)}")
     keep = lambda f: f in wanted if kept_fields is not None else f not in wanted
 
-    lines = text.where(~F.col("value").startswith("#") & (F.length("value") > 0)).withColumn("_id", F.monotonically_increasing_id())
+    is_variant = lambda rows: rows.where(~F.col("value").startswith("#") & (F.length("value") > 0))
     f = F.split("value", "\t")
-    body = lines.select("_id", f.alias("f")).select("_id", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format"))], F.slice("f", 10, max(len(samples), 1)).alias("raw"))
+    body = placed(text, is_variant).select(*PLACE, f.alias("f")).select(*PLACE, *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format"))], F.slice("f", 10, max(len(samples), 1)).alias("raw"))
     dot = lambda c: F.when(F.col(c) != ".", F.col(c))
     pairs = F.str_to_map(F.col("info"), F.lit(";"), F.lit("="))
     infos = [_info(pairs, k, about).alias(k) for k, about in meta["INFO"].items() if keep(f"info/{k}")]
@@ -89,25 +91,31 @@ def read_vcf(spark: SparkSession, path: str, kept_fields: list[str] | None = Non
     passed = F.col("filter") == "PASS"
     failed = F.split("filter", ";")
     filters = F.create_map(*[x for k in meta["FILTER"] for x in (F.lit(k), F.when(F.col("filter") == ".", F.lit(None).cast("int")).when(passed, 1).otherwise((~F.array_contains(failed, k)).cast("int")))]) if meta["FILTER"] else F.lit(None).cast("map<string,int>")
-    ploidy = _ploidy(body)
+    ploidy = _ploidy([is_variant(x) for x in files])
     missing = F.array(*[F.lit(None).cast("int")] * ploidy)
     calls = F.transform(F.transform("raw", call), lambda c: c.withField("gt", F.when(F.size(c["gt"]) == ploidy, c["gt"]).otherwise(missing)))
     rows = body.select(
-        "_id", "chrom", F.col("pos").cast("int").alias("pos"), dot("id").alias("id"), "ref", F.when(F.col("alt") != ".", F.split("alt", ",")).alias("alt"), dot("qual").try_cast("double").alias("qual"),
+        *PLACE, "chrom", F.col("pos").cast("int").alias("pos"), dot("id").alias("id"), "ref", F.when(F.col("alt") != ".", F.split("alt", ",")).alias("alt"), dot("qual").try_cast("double").alias("qual"),
         filters.alias("filters"), (F.struct(*infos) if infos else F.lit(None).cast("string")).alias("info"), calls.alias("calls"),
     )
-    return Variations(_numbered(rows), samples, ploidy, metadata=meta)
-
-
-def _head(text: DataFrame) -> list[str]:
-    """The lines before the first variant: the beginning of the first file is read, no more."""
-    n = 256
-    while True:
-        lines = [r.value for r in text.take(n)]
-        top = [x for x in lines if x.startswith("#")]
-        if len(top) < len(lines) or len(lines) < n:
-            return top
-        n *= 4
+    return Variations(numbered(rows), samples, ploidy, metadata=meta)
+
+
+def _head(files: list[DataFrame]) -> list[str]:
+    """The lines before the first variant: the beginning of the first file is read, and of the next if it has no variant."""
+    head = []
+    for text in files:
+        n = 256
+        while True:
+            lines = [r.value for r in text.take(n)]
+            top = [x for x in lines if x.startswith("#")]
+            if len(top) < len(lines) or len(lines) < n:
+                break
+            n *= 4
+        head += top
+        if len(top) < len(lines):
+            break
+    return head
 
 
 def chroms_of(spark: SparkSession, path: str) -> list[str]:
@@ -132,23 +140,15 @@ def _info(pairs: Column, name: str, about: dict) -> Column:
     return _typed(F.try_element_at(pairs, F.lit(name)), about)
 
 
-def _ploidy(body: DataFrame) -> int:
+def _ploidy(files: list[DataFrame]) -> int:
     """Of the first genotype that is called."""
-    gts = body.select("_id", F.explode("raw").alias("c")).select("_id", F.split(F.split("c", ":")[0], "[/|]").alias("gt")).where(~F.array_contains("gt", "."))
-    first = gts.select(F.size("gt").alias("k")).first()
-    return first.k if first else 2
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    """row_idx from the order of reading: places within each partition after the sizes of those before it."""
-    from pyspark.sql import Window
-
-    part = F.shiftright("_id", 33)
-    sizes = rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_p", before.alias("_before"))  # a row per partition
-    out = rows.withColumn("_p", part).join(F.broadcast(offsets), "_p")
-    return out.select((F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).alias("row_idx"), *[c for c in rows.columns if c != "_id"])
+    for lines in files:
+        calls = F.split("value", "\t")
+        gts = lines.select(F.explode(F.slice(calls, F.lit(10), F.greatest(F.size(calls) - 9, F.lit(0)))).alias("c")).select(F.split(F.split("c", ":")[0], "[/|]").alias("gt"))
+        first = gts.where(~F.array_contains("gt", ".")).select(F.size("gt").alias("k")).first()
+        if first:
+            return first.k
+    return 2
 
 
 def vcf_to_store(spark: SparkSession, path: str, store: str, **fields) -> Variations:

@@ -3,9 +3,12 @@
 import math
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from genomill.operators import filters
-from genomill.plans import fixture, registry
+from genomill.plans import fixture, registry, tables
+from genomill.sinks import vcf as vcf_sink
+from genomill.sources import vcf
 
 
 def test_calls_are_worked_out_once_and_by_many_tasks(spark):
@@ -32,3 +35,43 @@ def test_calls_are_those_of_the_sql(spark):
             assert call == {"gt": gt, "dp": dp, "gq": gq, "ro": dp - other, "ao": [other], "ad": [dp - other, other]}
     assert fixture.calls_of(sids)(pa.array([], pa.int64())).to_pylist() == []
     assert fixture.calls_of([])(pa.array([1, 2], pa.int64())).to_pylist() == [[], []]
+
+
+def test_lines_of_many_files_keep_their_order(spark, tmp_path):
+    """Spark reads large files first, and blocks of a file by their size: neither the header nor row_idx may follow that."""
+    v = tables.described(registry.load(spark, "/root/testdata/sf0.001"))
+    path = tmp_path / "parts"
+    path.mkdir()
+    vcf_sink.write_vcf(v, str(tmp_path / "one"), single=True)
+    lines = next((tmp_path / "one").glob("*.txt")).read_text().splitlines()
+    cuts = [0, 3, 40, 45, 120, len(lines)]
+    assert lines[3].startswith("#")  # the header lies in two files
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        (path / f"part {i}%.txt").write_text("".join(x + "\n" for x in lines[a:b]))
+    wanted = [x.split("\t")[2] for x in lines if not x.startswith("#")]
+    for size in ("128m", "7k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = vcf.read_vcf(spark, str(path))
+            rows = got.df.select("row_idx", "id", F.size("calls").alias("n")).orderBy("row_idx").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got.samples == v.samples
+        assert [r.id for r in rows] == wanted and [r.row_idx for r in rows] == list(range(len(wanted))) and {r.n for r in rows} == {25}
+
+
+def test_header_stays_whole_before_the_first_line(spark, tmp_path):
+    """With as many parts as there are, the header lies in the first."""
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        v = registry.load(spark, "/root/testdata/sf0.001")
+        vcf_sink.write_vcf(v, str(tmp_path / "out"))
+        got = vcf.read_vcf(spark, str(tmp_path / "out"))
+        rows = got.df.select("row_idx", "chrom", "pos").orderBy("row_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    texts = [f.read_text() for f in sorted((tmp_path / "out").glob("*.txt"))]
+    assert len(texts) > 10 and texts[0].startswith("##fileformat") and "#CHROM" in texts[0] and not any("#" in t for t in texts[1:])
+    assert [(r.chrom, r.pos) for r in rows] == sorted((r.chrom, r.pos) for r in rows) and len(rows) == 200
