@@ -6,10 +6,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.special import bound
 from ..operators.filters import IndelFilter
 from ..operators.table import Variations
 
 
+#: Numbers of variants whose letters are joined before they go to their sequences.
+BLOCK = 1_024
+
+
 class AlignmentTooDifficultError(ValueError):
     pass
 
@@ -86,9 +91,20 @@ def sequences(v: Variations, remove_indels: bool = True, one_per_sample: bool =
 
     df = df.withColumn("letters", one_length(F.col("alleles"), align, hyphens)).where("letters is not null")
     widest = F.array_max(F.transform("letters", lambda a: F.length(a)))
-    rows = df.select("row_idx", "letters", widest.alias("w"), F.posexplode("haps").alias("sample_idx", "hap_alleles")).select("row_idx", "letters", "w", "sample_idx", F.posexplode("hap_alleles").alias("hap", "a"))
-    letter = F.coalesce(F.get("letters", F.col("a")), F.expr("repeat('N', w)"))
-    seqs = rows.groupBy("sample_idx", "hap").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", letter.alias("x")))), lambda s: s["x"]), "").alias("sequence"))
+    # A variant's letters for all haplotypes at once: as rows they would be as many as calls.
+    n_haps = 1 if one_per_sample else v.ploidy
+    n = len(v.samples) * n_haps
+    places = F.slice(F.sequence(F.lit(0), F.lit(max(n - 1, 0))), 1, n)
+    # Each is bound: Catalyst would put its expression into the function, where it is worked out again for every haplotype.
+    named = {"letters": F.col("letters"), "missing": F.repeat(F.lit("N"), widest)}
+    given = lambda s, a: F.coalesce(F.get(s["letters"], a), s["missing"])
+    several = lambda s, gt: F.transform(F.sequence(F.lit(0), F.lit(n_haps - 1)), lambda h: given(s, F.get(gt, h)))
+    of_all = bound(named, lambda s: F.flatten(F.transform("haps", lambda gt: several(s, gt))))
+    pieces = df.select("row_idx", of_all.alias("x")).groupBy(F.floor(F.col("row_idx") / BLOCK).alias("block")).agg(F.collect_list(F.struct("row_idx", "x")).alias("rows"))
+    texts = bound({"rows": F.transform(F.array_sort("rows"), lambda r: r["x"])}, lambda s: F.transform(places, lambda i: F.array_join(F.transform(s["rows"], lambda x: F.get(x, i)), "")))
+    pieces = pieces.select("block", F.posexplode(texts).alias("place", "piece"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "piece"))), lambda s: s["piece"]), "")
+    seqs = pieces.groupBy("place").agg(whole.alias("sequence")).select(F.floor(F.col("place") / n_haps).cast("int").alias("sample_idx"), (F.col("place") % n_haps).alias("hap"), "sequence")
     name = F.get(F.array(*[F.lit(s) for s in v.samples]), F.col("sample_idx"))
     return seqs.select("sample_idx", "hap", (name if one_per_sample else F.concat(name, F.lit("_hap"), (F.col("hap") + 1).cast("string"))).alias("name"), "sequence")
 

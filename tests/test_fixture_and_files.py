@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from genomill.operators import filters
 from genomill.plans import fixture, registry, tables
-from genomill.sinks import vcf as vcf_sink
+from genomill.sinks import fasta, vcf as vcf_sink
 from genomill.sources import vcf
+from helpers import table
 
 
 def test_calls_are_worked_out_once_and_by_many_tasks(spark):
@@ -75,3 +76,20 @@ def test_header_stays_whole_before_the_first_line(spark, tmp_path):
     texts = [f.read_text() for f in sorted((tmp_path / "out").glob("*.txt"))]
     assert len(texts) > 10 and texts[0].startswith("##fileformat") and "#CHROM" in texts[0] and not any("#" in t for t in texts[1:])
     assert [(r.chrom, r.pos) for r in rows] == sorted((r.chrom, r.pos) for r in rows) and len(rows) == 200
+
+
+def test_sequences_are_joined_by_blocks(spark, monkeypatch):
+    """What is collected for a sequence is pieces, not a row for each call; blocks meet in order and may have gaps."""
+    monkeypatch.setattr(fasta, "BLOCK", 7)
+    gts = [[(i * (j + 2) * (h + 3) // 2 % 5 % 3 if (i + j) % 6 else -1 for h in (0, 1)) for j in range(3)] for i in range(60)]
+    v = table(spark, [[tuple(c) for c in row] for row in gts], alt=[["C", "G"]] * 60)
+    v = v.having(v.df.where("row_idx not between 14 and 34").repartition(5))
+    rows = fasta.sequences(v)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "block" in plan and "hap_alleles" not in plan
+    got = {(r.sample_idx, r.hap, r.name): r.sequence for r in rows.collect()}
+    kept = [r for r in v.df.orderBy("row_idx").collect() if any(a is not None for c in r["calls"] for a in c.gt)]
+    kept = [r for r in kept if sum(a is None for c in r["calls"] for a in c.gt) < 3]
+    wanted = {(j, h, f"s{j}_hap{h + 1}"): "".join("N" if r["calls"][j].gt[h] is None else "ACG"[r["calls"][j].gt[h]] for r in kept) for j in range(3) for h in (0, 1)}
+    assert got == wanted and len(kept) > 20
+    assert fasta.sequences(v.only_samples([])).count() == 0
