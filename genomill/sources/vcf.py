@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.special import bound
 from ..operators.table import Variations
 from .lines import PLACE, by_file, numbered, placed
 
@@ -82,9 +83,8 @@ def read_vcf(spark: SparkSession, path: str, kept_fields: list[str] | None = Non
     names = [k for k in meta["FORMAT"] if keep(f"calls/{k}") or k == "GT"]
     keys = F.split("format", ":")
 
-    def call(raw: Column) -> Column:
-        parts = F.split(raw, ":")
-        at = lambda k: F.when(F.array_position(keys, k) > 0, F.get(parts, (F.array_position(keys, k) - 1).cast("int")))
+    def call(parts: Column, places: Column) -> Column:
+        at = lambda k: F.get(parts, places[k])
         fields = [parse_gt(F.coalesce(at("GT"), F.lit("."))).alias("gt")] + [_typed(at(k), meta["FORMAT"][k]).alias(k.lower()) for k in names if k != "GT"]
         return F.struct(*fields)
 
@@ -93,7 +93,10 @@ def read_vcf(spark: SparkSession, path: str, kept_fields: list[str] | None = Non
     filters = F.create_map(*[x for k in meta["FILTER"] for x in (F.lit(k), F.when(F.col("filter") == ".", F.lit(None).cast("int")).when(passed, 1).otherwise((~F.array_contains(failed, k)).cast("int")))]) if meta["FILTER"] else F.lit(None).cast("map<string,int>")
     ploidy = _ploidy([is_variant(x) for x in files])
     missing = F.array(*[F.lit(None).cast("int")] * ploidy)
-    calls = F.transform(F.transform("raw", call), lambda c: c.withField("gt", F.when(F.size(c["gt"]) == ploidy, c["gt"]).otherwise(missing)))
+    # Where a field lies is looked up once for each variant, and a call is split once.
+    places = bound({"keys": keys}, lambda s: F.struct(*[F.when(F.array_position(s["keys"], k) > 0, (F.array_position(s["keys"], k) - 1).cast("int")).alias(k) for k in dict.fromkeys(["GT", *names])]))
+    parsed = bound({"raw": F.col("raw"), "places": places}, lambda s: F.transform(F.transform(s["raw"], lambda raw: F.split(raw, ":")), lambda parts: call(parts, s["places"])))
+    calls = F.transform(parsed, lambda c: c.withField("gt", F.when(F.size(c["gt"]) == ploidy, c["gt"]).otherwise(missing)))
     rows = body.select(
         *PLACE, "chrom", F.col("pos").cast("int").alias("pos"), dot("id").alias("id"), "ref", F.when(F.col("alt") != ".", F.split("alt", ",")).alias("alt"), dot("qual").try_cast("double").alias("qual"),
         filters.alias("filters"), (F.struct(*infos) if infos else F.lit(None).cast("string")).alias("info"), calls.alias("calls"),
